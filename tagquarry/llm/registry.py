@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 SQL: dict[str, str] = {}
