@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import neardup, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
 }
 SQL: dict[str, str] = {}
