@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, toxicity
+from . import bpe, neardup, packing, quality, reputation, secrets, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_bpe": bpe.op3_bpe,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_warc_revisits": warc.op7_warc_revisits,
+    "op8_host_reputation": reputation.op8_host_reputation,
+    "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_packing": packing.op10_packing,
+}
+SQL: dict[str, str] = {
+    "op7_warc_revisits": warc.SQL,
+    "op8_host_reputation": reputation.SQL,
 }
-SQL: dict[str, str] = {}
