@@ -34,8 +34,8 @@ BUCKETS = 1 << 20
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 9000, 1024
 PREFIXES = (4, 5, 6)
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
-#: A feature's least log-likelihood ratio, doubled; far beyond what chance gives among 2**20 features. Halved, twice at most, where none reaches it.
-SIGNIFICANT = 40.0
+#: A feature's least log-likelihood ratio, doubled; chance gives that to about one of 2**20 features. Halved, twice at most, where none reaches it.
+SIGNIFICANT = 24.0
 
 
 @dataclass
