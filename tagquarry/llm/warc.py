@@ -56,6 +56,8 @@ def _once(records: DataFrame, keys: DataFrame) -> DataFrame:
 
 def resolve_revisits(records: DataFrame, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """All records, with their new warc_type, refers_to_id, _uri and _date, resolved (null for responses), and the fresh header."""
+    more = [c for c in ("page_id",) if c in records.columns]
+    records = records.select(*more, *(x.split()[0] for x in SCHEMA.split(", ")))
     heads = records.select("record_id", "uri", "date", "digest", F.coalesce("warc_type", F.lit("response")).alias("warc_type"))
     one = cut(heads.groupBy("digest", "record_id", "warc_type").agg(F.min("uri").alias("uri"), F.min("date").alias("date"), F.count("*").alias("n")))
     keys = one.where("n > 1").select(F.col("record_id").alias("_r"), F.col("digest").alias("_d"), F.col("warc_type").alias("_t"))
@@ -80,7 +82,6 @@ def resolve_revisits(records: DataFrame, broadcast_digests: int = BROADCAST_DIGE
         line("Content-Length", F.col("_length").cast("string")), F.lit("\r\n"),
     )
     empty = F.lit("").cast(records.schema["payload"].dataType)
-    more = [c for c in ("page_id",) if c in records.columns]
     return out.select(
         *more, "record_id", F.col("_type").alias("warc_type"), "uri", "date", "digest", "resolved", "refers_to_id", F.col("_u").alias("refers_to_uri"), F.col("_at").alias("refers_to_date"),
         header.alias("header"), F.when(revisit, empty).otherwise(F.coalesce("payload", empty)).alias("payload"),
