@@ -8,9 +8,9 @@ on that token alone, and the automaton is deterministic with one state a token.
 gadgets (`left`, `right`, and the merge of a pair); an arc is expanded from it when a word first asks for
 it, and kept in the transition table of the worker.
 
-As each prefix of a word has one tokenization, the word is encoded from left to right by transitions only:
-the state at a position is the one reached by the arc, labelled with the bytes since an earlier position,
-that the state there has. No merge is ever replayed. Decoding emits the labels of the arcs.
+A word is encoded by transitions only: its tokens are the one path whose arcs' labels make up its bytes. The
+path is followed from left to right, the longest arc first, and back where there is no way on; a place that
+was left so is never entered again. No merge is ever replayed. Decoding emits the labels of the arcs.
 
 Defined results:
 - a null text has null tokens; an empty one has an empty list; both decode to themselves;
@@ -23,8 +23,8 @@ Defined results:
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and arcs kept by a worker; beyond it the tables are emptied and filled again, with the same results.
-KEPT_WORDS, KEPT_ARCS = 200_000, 1_000_000
+#: Words and arcs kept by a worker; beyond it older ones go and are made again when asked for, with the same results.
+KEPT_WORDS, KEPT_ARCS = 300_000, 1_000_000
 
 
 def _bytes_of() -> dict[str, int]:
@@ -111,18 +111,26 @@ class Automaton:
         if (whole := ids.get(b)) is not None:
             return (whole,)
         n, longest = len(b), self.longest
-        state = [-1] * (n + 1)  # at each position; -1 at the start
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                if (y := ids.get(b[j:i])) is not None:
-                    if not j or ((ok := arcs.get(state[j] * size + y)) is None and arc(state[j], y)) or ok:
-                        state[i] = y
+        # A path over all of the word; the longest arcs are followed first. Of a prefix there is one path at
+        # most, so a place from which there is no way to the end is on no path, and isn't tried again.
+        out, at, shut = [], [0], set()
+        state, pos, end = -1, 0, min(n, longest)
+        while pos < n:
+            while end > pos:
+                if (y := ids.get(b[pos:end])) is not None and end not in shut:
+                    if state < 0 or (arc(state, y) if (ok := arcs.get(state * size + y)) is None else ok):
                         break
-        out, i = [], n
-        while i:
-            out.append(state[i])
-            i -= len(self.labels[state[i]])
-        return tuple(out[::-1])
+                end -= 1
+            if end > pos:
+                out.append(y)
+                at.append(end)
+                state, pos, end = y, end, min(n, end + longest)
+            else:
+                shut.add(pos)
+                end = at.pop() - 1
+                out.pop()
+                state, pos = out[-1] if out else -1, at[-1]
+        return tuple(out)
 
 
 class Codec:
@@ -131,20 +139,29 @@ class Codec:
         self.labels = labels
 
         class Words(dict):
-            def __missing__(self, w: str) -> tuple[int, ...]:
+            """Tokens of a word, as the bytes of int32. The words before the last KEPT_WORDS go, unless they were asked for since."""
+
+            old: dict = {}
+
+            def __missing__(self, w: str) -> bytes:
                 if len(self) >= KEPT_WORDS:
+                    self.old = dict(self)
                     self.clear()
-                out = self[w] = a.word(w.encode())
+                out = self.old.get(w)
+                if out is None:
+                    out = array("i", a.word(w.encode())).tobytes()
+                self[w] = out
                 return out
 
         self.words = Words()
         self.split = regex.compile(pattern).findall
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.intc)
 
     def decode(self, ids) -> str:
-        if len(ids) and (min(ids) < 0 or max(ids) >= len(self.labels)):
+        ids = list(ids)
+        if ids and (min(ids) < 0 or max(ids) >= len(self.labels)):
             raise ValueError("an id outside the vocabulary")
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -174,10 +191,10 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFra
             for lo, hi in _slices(texts):
                 at, same, parts = [0], [], []
                 for t in texts.slice(lo, hi - lo).to_pylist():
-                    ids = c.encode(t) if t else []
-                    parts.append(np.array(ids, np.int32))
+                    ids = c.encode(t) if t else np.zeros(0, np.int32)
+                    parts.append(ids)
                     at.append(at[-1] + len(ids))
-                    same.append(None if t is None else b"".join(map(label, ids)) == t.encode())
+                    same.append(None if t is None else b"".join(map(label, ids.tolist())) == t.encode())
                 null = pa.array([x is None for x in same] + [False])
                 offsets = pa.array(at, pa.int32())
                 if null.true_count:
