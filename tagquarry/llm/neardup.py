@@ -7,8 +7,8 @@ shallow depth; where many do, a document meets its nearest neighbours in the ord
 of each longer prefix that it is in, as deep as the region's density asks for. No document is left out and
 none has a limit of partners: whoever reaches a group's first document or a neighbour in it is in the group.
 
-Each candidate pair is verified at once on a sketch of all TREES * DEPTH min-hashes that travels with the
-label; only verified pairs leave the task. Groups are the connected components of these pairs, after
+Each candidate pair is verified at once on a sketch, four bits of each of the TREES * DEPTH min-hashes, that
+travels with the label; only verified pairs leave the task. Groups are the connected components of these pairs, after
 documents with the same sketch (exact copies among them) have been collapsed into one.
 
 Defined results:
@@ -91,13 +91,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sig, has = signatures(b.column(1).to_pylist())
         sig = np.ascontiguousarray(sig.astype(">u2")[has])
-        label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * HASHES), len(sig), [None, pa.py_buffer(sig)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), label], ["doc_id", "sig"])
+        low = (sig & 15).astype(np.uint8)
+        fixed = lambda x, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), fixed(sig, 2 * HASHES), fixed(low[:, ::2] << 4 | low[:, 1::2], HASHES // 2)], ["doc_id", "sig", "sketch"])
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the rows of two uint8 sketches, chance agreement taken out."""
-    return ((x == y).sum(1) / x.shape[1] - 1 / 256) / (1 - 1 / 256)
+    """Estimated Jaccard similarity of the rows of two sketches of four-bit values, chance agreement taken out."""
+    return ((x == y).sum(1) / x.shape[1] - 1 / 16) / (1 - 1 / 16)
 
 
 def _verify(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
@@ -116,13 +117,13 @@ def _neighbours(threshold: float, window: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u2").reshape(b.num_rows, HASHES)
+            two = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, HASHES // 2)
             tree = np.asarray(b.column(0).to_numpy(), np.int64)
-            own = sig.reshape(b.num_rows, TREES, DEPTH)[np.arange(b.num_rows), tree]
+            own = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(b.num_rows, DEPTH)
             old = len(ids)
             ids = np.concatenate([ids, b.column(2).to_numpy()])
             lab = np.concatenate([lab, np.column_stack([tree.astype(np.uint16), own.astype(np.uint16)])])
-            sk = np.concatenate([sk, (sig & 255).astype(np.uint8)])
+            sk = np.concatenate([sk, np.stack([two >> 4, two & 15], 2).reshape(b.num_rows, HASHES)])
             n = len(ids)
             new = np.arange(old, n)
 
@@ -162,14 +163,14 @@ def _neighbours(threshold: float, window: int):
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, window: int = NEIGHBOURS) -> DataFrame:
     """doc_id, group_id (the least doc_id of the group), group_size, keep: for each distinct doc_id."""
-    signed = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, sig binary"))
-    reps = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    signed = cut(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_sign, "doc_id long, sig binary, sketch binary"))
+    reps = cut(signed.groupBy("sig", "sketch").agg(F.min("doc_id").alias("rep")))
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = reps.select(trees, "rep", "sig").select("tree", F.expr(f"substring(sig, 1 + tree * {2 * DEPTH}, {2 * DEPTH})").alias("label"), "rep", "sig")
+    rows = reps.select(trees, "rep", "sig", "sketch").select("tree", F.expr(f"substring(sig, 1 + tree * {2 * DEPTH}, {2 * DEPTH})").alias("label"), "rep", "sketch")
     ordered = rows.repartition(F.col("tree"), F.expr(f"substring(label, 1, {2 * ROOT})")).sortWithinPartitions("tree", "label", "rep")
     pairs = ordered.mapInArrow(_neighbours(threshold, window), "a long, b long")
     # Copies of one sketch, and rows of one doc_id with several texts, hang on their representative.
-    copies = signed.join(reps, "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = signed.select("doc_id", "sig").join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(pairs.unionByName(copies))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     whole = ids.join(roots, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
@@ -181,13 +182,13 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcas
     """One row of each group, with all its columns."""
     out = cut(near_duplicate_groups(docs, threshold).where("NOT keep").select(F.col("doc_id").alias("_drop")))
     hint = F.broadcast(out) if out.count() <= broadcast_ids else out.hint("merge")
-    left = docs.join(hint, F.col("doc_id") == F.col("_drop"), "left_anti")
+    left = docs.join(hint, docs["doc_id"] == hint["_drop"], "left_anti")
     again = cut(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select(F.col("doc_id").alias("_again")))
     if again.isEmpty():
         return left
     hint = F.broadcast(again) if again.count() <= broadcast_ids else again.hint("merge")
-    once = left.join(hint, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(hint, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    once = left.join(hint, left["doc_id"] == hint["_again"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(hint, left["doc_id"] == hint["_again"], "left_anti").unionByName(once)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
