@@ -1,9 +1,36 @@
-"""All queries over the driver's tables, each with its SQL twin."""
+"""All queries over the driver's tables, each with its SQL twin for DuckDB.
+
+Results are flat: arrays are joined with `|` (values) and `;` (entries), counts are BIGINT.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import values as V
+from .functions import vocabulary as K
+from .operators import chapters as C
+from .operators import lint as L
+from .operators import tags as T
+from .operators import transfer as R
+from .plans import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict:
@@ -12,3 +39,536 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(SQL)
+
+
+_orders = views.orders_tags
+_W = f"WITH {views.DUCK} "
+_TRIM = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_FOLD = lambda c: f"lower({_TRIM(c)})"
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_INT = lambda c: f"(CASE WHEN regexp_full_match({_TRIM(c)}, '[+-]?[0-9]+') THEN TRY_CAST({_TRIM(c)} AS BIGINT) END)"
+_NUM = lambda c: f"split_part({c}, '/', 1)"
+_TOT = lambda c: f"(CASE WHEN contains({c}, '/') THEN substr({c}, strpos({c}, '/') + 1) END)"
+_PAIR = lambda k, c: f"({k} IN ('TRACKNUMBER', 'DISCNUMBER') AND contains({c}, '/'))"
+_VALS = lambda t, k: f"list_filter({t}, lambda x: x.key = {k})[1].\"values\""
+
+
+def _is_number(k: str, c: str) -> str:
+    side = lambda x: f"({_TRIM(x)} = '' OR {_INT(x)} IS NOT NULL)"
+    return f"(CASE WHEN {_PAIR(k, c)} THEN ({_TRIM(_NUM(c))} <> '' OR {_TRIM(_TOT(c))} <> '') AND {side(_NUM(c))} AND {side(_TOT(c))} ELSE {_INT(c)} IS NOT NULL END)"
+
+
+_DATE = lambda c: rf"(regexp_full_match({_TRIM(c)}, '[0-9]{{4}}(-[0-9]{{2}}(-[0-9]{{2}})?)?') AND NOT starts_with({_TRIM(c)}, '0000') AND TRY_CAST(CASE length({_TRIM(c)}) WHEN 4 THEN {_TRIM(c)} || '-01-01' WHEN 7 THEN {_TRIM(c)} || '-01' ELSE {_TRIM(c)} END AS DATE) IS NOT NULL)"
+_BOOL = lambda c: f"(CASE WHEN {_FOLD(c)} IN ('1', 'true', 'yes') THEN true WHEN {_FOLD(c)} IN ('0', 'false', 'no') THEN false END)"
+_MEDIA = lambda c: f"(regexp_full_match({_TRIM(c)}, '[0-9]+') AND coalesce(TRY_CAST({_TRIM(c)} AS HUGEINT) <= 255, false))"
+_UNIT = lambda c: _TRIM(f"regexp_replace({_TRIM(c)}, '(?i)dB$', '')")
+_GAIN = lambda k, c: rf"(regexp_full_match({_UNIT(c)}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)') AND NOT ({k} IN {_IN(K.PEAKS)} AND starts_with({_UNIT(c)}, '-')))"
+_VALID = (
+    f"(CASE WHEN key IN {_IN(K.NUMERIC)} THEN {_is_number('key', 'v')} WHEN key IN {_IN(K.DATES)} THEN {_DATE('v')} WHEN key = 'COMPILATION' THEN {_BOOL('v')} IS NOT NULL "
+    f"WHEN key = 'MEDIATYPE' THEN {_MEDIA('v')} WHEN key IN {_IN(K.GAINS)} THEN {_GAIN('key', 'v')} WHEN key = 'RELEASECOUNTRY' THEN regexp_full_match({_TRIM('v')}, '[A-Za-z]{{2}}') ELSE true END)"
+)
+_CODE = f"(CASE WHEN key IN {_IN(K.DATES)} THEN 'malformed-date' WHEN key = 'COMPILATION' THEN 'malformed-boolean' WHEN key = 'RELEASECOUNTRY' THEN 'malformed-country' ELSE 'malformed-number' END)"
+_T_V = f"(CASE WHEN key IN {_IN(K.TRIMMABLE)} THEN {_TRIM('v')} ELSE v END)"
+_LINT = f"""tv AS (SELECT doc_id, key, pos, vpos, {_T_V} AS v, v AS raw FROM v),
+f AS (SELECT doc_id, 'warning' AS severity, {_CODE} AS code, key, v AS detail FROM tv WHERE v <> '' AND NOT {_VALID}
+UNION ALL SELECT doc_id, 'info', 'negative-numeric', key, raw FROM tv WHERE key IN {_IN(K.NUMERIC)} AND CASE WHEN {_PAIR('key', 'raw')} THEN coalesce({_INT(_NUM('raw'))} < 0, false) OR coalesce({_INT(_TOT('raw'))} < 0, false) ELSE coalesce({_INT('raw')} < 0, false) END
+UNION ALL SELECT doc_id, 'warning', 'single-valued-multi', key, CAST(len(vals) AS VARCHAR) FROM k WHERE key IN {_IN(K.KEYS)} AND key NOT IN {_IN(K.MULTIVALUED)} AND len(vals) > 1
+UNION ALL SELECT doc_id, 'info', 'custom-key', key, NULL FROM k WHERE key NOT IN {_IN(K.KEYS)})"""
+
+
+def join(values: Column) -> Column:
+    return F.array_join(values, "|")
+
+
+def tell(tags: Column) -> Column:
+    """A tag set in one string."""
+    return F.array_join(F.transform(tags, lambda t: F.concat(t["key"], F.lit("="), join(t["values"]))), ";")
+
+
+_JOIN = lambda c: f"array_to_string({c}, '|')"
+_TELL = lambda c: f"array_to_string(list_transform({c}, lambda tg: tg.key || '=' || array_to_string(tg.\"values\", '|')), ';')"
+
+
+# Lint
+
+
+@query(_W + f", {_LINT} SELECT severity, code, count(*) AS n, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1, 2")
+def lint_values(spark, d):
+    """L06-L09 by code: the tag rules over every order."""
+    f = _orders(spark, d).select("doc_id", F.explode(L.tag_rules(F.col("tags"))).alias("f"))
+    return f.groupBy("f.severity", "f.code").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(_W + f", {_LINT} SELECT doc_id, severity, code, key, detail FROM f")
+def lint_findings(spark, d):
+    return _orders(spark, d).select("doc_id", F.explode(L.tag_rules(F.col("tags"))).alias("f")).select("doc_id", "f.severity", "f.code", "f.key", "f.detail")
+
+
+@query(_W + f", {_LINT}, w AS (SELECT doc_id, max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS r FROM f GROUP BY 1) SELECT a.doc_id, CASE r WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' END AS worst, CASE WHEN r = 1 THEN 1 WHEN r = 2 THEN 4 ELSE 0 END AS code FROM a LEFT JOIN w USING (doc_id)")
+def lint_worst(spark, d):
+    """A09, L11."""
+    f = _orders(spark, d).select("doc_id", L.tag_rules(F.col("tags")).alias("f"))
+    return f.select("doc_id", L.worst(F.col("f")).alias("worst"), L.exit_code(F.col("f")).alias("code"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, [CAST(p_size % 6 AS INT), 3, CAST(p_size % 4 AS INT)] AS types, [p_name, p_brand, p_name] AS data, [CASE WHEN p_size % 9 = 0 THEN 'application/octet-stream' ELSE 'image/png' END, 'image/png', 'image/jpeg'] AS mimes FROM part),
+f AS (SELECT doc_id, 'invalid-picture' AS code, mimes[1] AS detail FROM p WHERE mimes[1] = 'application/octet-stream'
+UNION ALL SELECT doc_id, 'duplicate-picture', array_to_string(list_sort(list_distinct([types[1], types[3]])), ',') FROM p
+UNION ALL SELECT doc_id, 'multiple-front-covers', CAST(len(list_filter(types, lambda x: x = 3)) AS VARCHAR) FROM p WHERE len(list_filter(types, lambda x: x = 3)) > 1
+UNION ALL SELECT doc_id, 'duplicate-icon', NULL FROM p WHERE len(list_filter(types, lambda x: x = 1)) > 1 OR len(list_filter(types, lambda x: x = 2)) > 1)
+SELECT * FROM f""")
+def lint_pictures(spark, d):
+    """L05, A12, A13."""
+    pic = lambda t, data, mime: F.struct(t.cast("int").alias("type"), mime.alias("mime"), data.cast("binary").alias("data"))
+    c, png = F.col, F.lit("image/png")
+    pics = F.array(pic(c("p_size") % 6, c("p_name"), F.when(c("p_size") % 9 == 0, "application/octet-stream").otherwise("image/png")), pic(F.lit(3), c("p_brand"), png), pic(c("p_size") % 4, c("p_name"), F.lit("image/jpeg")))
+    p = spark.read.parquet(f"{d}/part.parquet").select(c("p_partkey").alias("doc_id"), F.explode(L.pictures(pics)).alias("f"))
+    return p.select("doc_id", "f.code", "f.detail")
+
+
+# Presence, projection, predicates
+
+
+@query(_W + f"""SELECT doc_id, array_to_string(list_transform(tags, lambda t: t.key), ',') AS keys, len(list_filter(tags, lambda t: t.key = 'GENRE')) > 0 AS has_genre, len({_VALS('tags', "'GENRE'")})::BIGINT AS genres,
+{_VALS('tags', "'COMMENT'")}[1] AS comment, coalesce(len({_VALS('tags', "'ENCODER'")}), 0)::BIGINT AS encoders FROM a""")
+def tag_presence(spark, d):
+    """Absent, present-but-empty and present apart."""
+    t = F.col("tags")
+    return _orders(spark, d).select("doc_id", F.array_join(T.keys(t), ",").alias("keys"), T.has(t, "GENRE").alias("has_genre"), F.size(T.values_of(t, "GENRE")).cast("long").alias("genres"), T.first(t, "COMMENT").alias("comment"), T.value_count(t, "ENCODER").cast("long").alias("encoders"))
+
+
+@query(_W + "SELECT doc_id, " + ", ".join(f"{_JOIN(_VALS('tags', repr(k)))} AS {k.lower()}" if k in K.MULTIVALUED else f"{_VALS('tags', repr(k))}[1] AS {k.lower()}" for k in K.KEYS) + " FROM a")
+def tag_projection(spark, d):
+    """The typed view, 68 columns."""
+    wide = _orders(spark, d).select("doc_id", *T.project(F.col("tags")))
+    return wide.select("doc_id", *(join(F.col(k.lower())).alias(k.lower()) if k in K.MULTIVALUED else F.col(k.lower()) for k in K.KEYS))
+
+
+@query("SELECT p_partkey AS doc_id, array_to_string(list_filter([CASE WHEN p_name <> '' THEN 'TITLE=' || p_name END, CASE WHEN p_brand <> '' THEN 'LABEL=' || p_brand END, 'MEDIATYPE=' || CAST(p_size AS VARCHAR)], lambda x: x IS NOT NULL), ';') AS ops FROM part")
+def tag_unproject(spark, d):
+    """Columns back to set operations."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("doc_id"), tell(T.unproject(p, {"p_name": "TITLE", "p_brand": "LABEL", "p_size": "MEDIATYPE"})).alias("ops"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(m).lower()}, {str(n).lower()}, {str(o).lower()}, {str(t).lower()}, '{c}', '{a}')" for k, m, n, o, t, c, a in K.key_rows()) + ") t(key, multivalued, number_pair, own_audio, trimmable, category, aliases)")
+def keys_catalog(spark, d):
+    """P13, O02."""
+    return K.keys_catalog(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{x}', '{w}', {m}, '{l}', '{t}')" for f, x, w, m, l, t in R.CAPABILITIES) + ") t(format, dimension, write, max_items, loss, mimes)")
+def capability_catalog(spark, d):
+    """P14, T09."""
+    return R.capabilities(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}', '{k}')" for f, n, k in K.native_rows()) + ") t(family, native_name, key)")
+def native_names(spark, d):
+    """J08, J09."""
+    return K.native_names(spark)
+
+
+# Diff, merge, set operations
+
+
+_DIFF = """d1 AS (SELECT doc_id, k.key, CASE WHEN kb.key IS NULL THEN 'removed' ELSE 'changed' END AS kind, k.vals AS b, kb.vals AS e FROM k LEFT JOIN kb USING (doc_id, key) WHERE kb.key IS NULL OR k.vals <> kb.vals),
+d2 AS (SELECT doc_id, kb.key, 'added' AS kind, NULL AS b, kb.vals AS e FROM kb ANTI JOIN k USING (doc_id, key)), ds AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2)"""
+
+
+@query(_W + f", {_DIFF} SELECT doc_id, kind, key, {_JOIN('b')} AS before, {_JOIN('e')} AS after FROM ds")
+def tag_diff(spark, d):
+    """J01."""
+    return _orders(spark, d).select("doc_id", F.explode(T.diff(F.col("tags"), F.col("tags_b"))).alias("c")).select("doc_id", "c.kind", "c.key", join(F.col("c.before")).alias("before"), join(F.col("c.after")).alias("after"))
+
+
+_CANON = lambda c: f"(CASE WHEN regexp_full_match({_TRIM(c)}, '[+-]?[0-9]+') THEN CASE WHEN starts_with({_TRIM(c)}, '-') AND regexp_replace({_TRIM(c)}, '^[+-]?0*', '') <> '' THEN '-' ELSE '' END || CASE WHEN regexp_replace({_TRIM(c)}, '^[+-]?0*', '') = '' THEN '0' ELSE regexp_replace({_TRIM(c)}, '^[+-]?0*', '') END ELSE {_TRIM(c)} END)"
+_SAME = lambda a, b: f"({_CANON(_NUM(a))} = {_CANON(_NUM(b))} AND coalesce({_CANON(_TOT(a))}, '') = coalesce({_CANON(_TOT(b))}, ''))"
+
+
+@query(_W + f", {_DIFF} SELECT doc_id, kind, key, CASE kind WHEN 'added' THEN '+ ' || key || ': ' || array_to_string(e, ' | ') WHEN 'removed' THEN '- ' || key || ': ' || array_to_string(b, ' | ') ELSE '~ ' || key || ': ' || array_to_string(b, ' | ') || ' -> ' || array_to_string(e, ' | ') END AS line FROM ds WHERE NOT (kind = 'changed' AND key IN {_IN(K.CANONICAL_NUMBERS)} AND len(b) = 1 AND len(e) = 1 AND coalesce({_SAME('b[1]', 'e[1]')}, false))")
+def tag_diff_numeric(spark, d):
+    """Numbers compared by value, changes as lines."""
+    c = _orders(spark, d).select("doc_id", F.explode(T.diff(F.col("tags"), F.col("tags_b"), F.lit(True))).alias("c"))
+    return c.select("doc_id", "c.kind", "c.key", T.change_line(F.col("c")).alias("line"))
+
+
+@query(_W + f", {_DIFF} SELECT kind, key, count(*) AS n FROM ds GROUP BY 1, 2")
+def tag_diff_counts(spark, d):
+    """Changed keys over the library."""
+    return _orders(spark, d).select(F.explode(T.diff(F.col("tags"), F.col("tags_b"))).alias("c")).groupBy("c.kind", "c.key").agg(F.count("*").alias("n"))
+
+
+def _merge_sql(strategy: str) -> str:
+    fold = f"list_transform(u, lambda x: {_FOLD('x')})"
+    union = f"list_filter(u, lambda x, i: list_position(list_transform(u, lambda y: {_FOLD('y')}), {_FOLD('x')}) = i)"
+    rules = {
+        "prefer-incoming": ("CASE WHEN i IS NOT NULL THEN iv ELSE bv END", "CASE WHEN i IS NOT NULL THEN 'incoming' ELSE 'base' END"),
+        "prefer-base": ("CASE WHEN b IS NOT NULL THEN bv ELSE iv END", "CASE WHEN b IS NOT NULL THEN 'base' ELSE 'incoming' END"),
+        "fill-empty": (f"CASE WHEN len(list_filter(bv, lambda x: {_TRIM('x')} <> '')) > 0 THEN bv WHEN i IS NOT NULL THEN iv ELSE bv END", f"CASE WHEN len(list_filter(bv, lambda x: {_TRIM('x')} <> '')) > 0 THEN 'base' WHEN i IS NOT NULL THEN 'incoming' ELSE 'base' END"),
+        "union": (union, "CASE WHEN b IS NOT NULL AND i IS NOT NULL THEN 'union' WHEN b IS NOT NULL THEN 'base' ELSE 'incoming' END"),
+    }[strategy]
+    del fold
+    return _W + f""", m0 AS (SELECT doc_id, key, k.vals AS b, kb.vals AS i, coalesce(k.vals, []::VARCHAR[]) AS bv, coalesce(kb.vals, []::VARCHAR[]) AS iv, CASE WHEN k.pos IS NULL THEN 1000 + kb.pos ELSE k.pos END AS p FROM k FULL JOIN kb USING (doc_id, key)),
+m1 AS (SELECT *, list_concat(bv, iv) AS u FROM m0), m2 AS (SELECT *, {rules[0]} AS s, {rules[1]} AS source FROM m1),
+m3 AS (SELECT *, (key IN {_IN(K.KEYS)} AND key NOT IN {_IN(K.MULTIVALUED)} AND len(s) > 1) AS capped FROM m2), m4 AS (SELECT *, CASE WHEN capped THEN s[1:1] ELSE s END AS o FROM m3)
+SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, {_JOIN('o')} AS vals, source, capped, {_JOIN(f"list_filter(u, lambda x: NOT list_contains(list_transform(o, lambda y: {_FOLD('y')}), {_FOLD('x')}))")} AS rejected FROM m4"""
+
+
+def _merge(strategy: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = _orders(spark, d).select("doc_id", F.posexplode(T.merge(F.col("tags"), F.col("tags_b"), strategy)).alias("pos", "m"))
+        return m.select("doc_id", "m.key", F.col("pos").cast("long"), join(F.col("m.values")).alias("vals"), "m.source", "m.capped", join(F.col("m.rejected")).alias("rejected"))
+
+    run.__name__ = "merge_" + strategy.replace("-", "_")
+    run.__doc__ = f"J04, U01, U02: {strategy}, with source and rejected values."
+    return query(_merge_sql(strategy))(run)
+
+
+for _s in T.STRATEGIES:
+    _merge(_s)
+
+
+@query(_W + "SELECT doc_id, list_sort(tags) = list_sort(list_reverse(tags)) AS same, list_sort(tags) = list_sort(tags_b) AS same_b, tags = tags_b AS identical FROM a")
+def tag_equality(spark, d):
+    """U03, U04."""
+    t, b = F.col("tags"), F.col("tags_b")
+    return _orders(spark, d).select("doc_id", T.equal(t, F.reverse(t)).alias("same"), T.equal(t, b).alias("same_b"), (t == b).alias("identical"))
+
+
+@query(_W + f"SELECT doc_id, {_TELL('list_concat(tags, list_filter(tags_b, lambda y: len(list_filter(tags, lambda x: x.key = y.key)) = 0))')} AS tags FROM a")
+def tag_overlay(spark, d):
+    """J05."""
+    return _orders(spark, d).select("doc_id", tell(T.overlay(F.col("tags"), F.col("tags_b"))).alias("tags"))
+
+
+@query(_W + f"SELECT vb.doc_id, vb.key, vb.v AS value, k.key IS NULL OR len(list_filter(k.vals, lambda x: {_FOLD('x')} = {_FOLD('vb.v')})) > 0 AS agrees FROM vb LEFT JOIN k ON k.doc_id = vb.doc_id AND k.key = vb.key")
+def family_agreement(spark, d):
+    """Values of a secondary container against the authoritative set."""
+    long = _orders(spark, d).select("doc_id", "tags", F.explode("tags_b").alias("t")).select("doc_id", "tags", F.col("t.key").alias("key"), F.explode("t.values").alias("value"))
+    return long.select("doc_id", "key", "value", T.family_selected(F.col("tags"), F.col("key"), F.col("value")).alias("agrees"))
+
+
+@query(_W + f"""SELECT doc_id, key, len(list_distinct(list_transform(vals, lambda x: {_FOLD('x')})))::BIGINT AS n_distinct,
+CASE WHEN key IN {_IN(K.KEYS)} AND key NOT IN {_IN(K.MULTIVALUED)} AND len(vals) > 1 THEN CASE WHEN len(list_distinct(list_transform(vals, lambda x: {_FOLD('x')}))) > 1 THEN 'conflict' ELSE 'duplicate' END END AS state FROM k""")
+def cardinality(spark, d):
+    """A06, A07."""
+    k = _orders(spark, d).select("doc_id", F.explode("tags").alias("t"))
+    return k.select("doc_id", "t.key", T.distinct_values(F.col("t.values")).cast("long").alias("n_distinct"), T.cardinality(F.col("t.key"), F.col("t.values")).alias("state"))
+
+
+@query(_W + f"SELECT doc_id, array_to_string(list_distinct(list_transform(list_filter(tags_b, lambda y: len(list_filter(tags, lambda x: x.key = y.key)) = 0), lambda y: y.key)), ',') IS NOT NULL AS ok, len(list_filter(tags_b, lambda y: len(list_filter(tags, lambda x: x.key = y.key)) = 0))::BIGINT AS legacy_only FROM a")
+def legacy_only(spark, d):
+    """Keys that only a legacy family has."""
+    fams = F.transform("tags_b", lambda t: F.struct(t["key"].alias("key"), F.lit(True).alias("legacy")))
+    keys = T.legacy_only(F.col("tags"), fams)
+    return _orders(spark, d).select("doc_id", keys.isNotNull().alias("ok"), F.size(keys).cast("long").alias("legacy_only"))
+
+
+# Contributions
+
+
+_C = f"WITH {views.DUCK_CONTRIBUTIONS}"
+
+
+@query(_C + f", p AS (SELECT doc_id, key, min(pos) AS p, list(value ORDER BY pos, value) AS v FROM c GROUP BY 1, 2) SELECT doc_id, array_to_string(list(key || '=' || CASE WHEN key IN {_IN(K.NUMBER_PAIR)} THEN v[1] ELSE array_to_string(v, '|') END ORDER BY p, key), ';') AS tags FROM p GROUP BY 1")
+def build_tags(spark, d):
+    """Rows to ordered multimaps."""
+    return T.build_tags(views.contributions(spark, d)).select("doc_id", tell(F.col("tags")).alias("tags"))
+
+
+@query(_C + f" SELECT doc_id, key, string_agg(value, '|' ORDER BY pos, value) AS vals, count(DISTINCT source) > 1 AND count(DISTINCT {_FOLD('value')}) > 1 AS conflict FROM c GROUP BY 1, 2")
+def family_conflicts(spark, d):
+    """A02, A03."""
+    return T.family_conflicts(views.contributions(spark, d)).select("doc_id", "key", join(F.col("values")).alias("vals"), "conflict")
+
+
+@query(_C + f", s AS (SELECT doc_id, key, scope, string_agg(value, '|' ORDER BY pos, value) AS vals FROM c GROUP BY 1, 2, 3), w AS (SELECT doc_id, key, count(DISTINCT scope) > 1 AND count(DISTINCT {_FOLD('value')}) > 1 AS conflict FROM c GROUP BY 1, 2) SELECT s.*, conflict FROM s JOIN w USING (doc_id, key)")
+def scope_conflicts(spark, d):
+    """By key and scope, the conflict over a key's scopes."""
+    return T.family_conflicts(views.contributions(spark, d), scope="scope").select("doc_id", "key", "scope", join(F.col("values")).alias("vals"), "conflict")
+
+
+@query(_C + f", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, {_FOLD('value')} ORDER BY CASE scope WHEN 'album' THEN 0 ELSE 1 END, pos, value) AS n FROM c) SELECT doc_id, key, string_agg(value, '|' ORDER BY CASE scope WHEN 'album' THEN 0 ELSE 1 END, pos, value) AS vals FROM r WHERE n = 1 GROUP BY 1, 2")
+def scope_flattening(spark, d):
+    """The album scope first, echoes in other scopes left out."""
+    c = views.contributions(spark, d).withColumn("r", F.when(F.col("scope") == "album", 0).otherwise(1))
+    g = c.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("r", "pos", "value"))).alias("v"))
+    flat = F.transform("v", lambda x: x["value"])
+    return g.select("doc_id", "key", join(T.union_values(flat, F.array().cast("array<string>"))).alias("vals"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS essence, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_essence(spark, d):
+    """Documents whose bytes digest alike."""
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("essence"))
+    g = x.groupBy("essence").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("docs")).where("n > 1")
+    return g.select("essence", "n", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@query(r"SELECT doc_id, 'sha256/text-v1:' || sha256('cfg' || coalesce(text, '')) || chr(9) || CAST(doc_id AS VARCHAR) AS line FROM documents")
+def digest_lines(spark, d):
+    """Digests over a configuration and the essence, as tab-separated lines."""
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    return x.select("doc_id", F.concat_ws("\t", F.concat(F.lit("sha256/text-v1:"), F.sha2(F.concat(F.lit("cfg"), F.coalesce("text", F.lit(""))).cast("binary"), 256)), F.col("doc_id").cast("string")).alias("line"))
+
+
+# Edits
+
+
+_OPS = [("set", "TITLE", "array('New')"), ("clear", "COMMENT", "array()"), ("set", "COMMENT", "array('again')"), ("add", "GENRE", "array('Jazz')"), ("set", "DISCNUMBER", "array(' 2/3 ')")]
+
+
+def _ops() -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(key).alias("key"), F.expr(f"cast({v} AS array<string>)").alias("values")) for k, key, v in _OPS)).cast(T.OPS)
+
+
+_SET = lambda t, k, v: f"CASE WHEN len(list_filter({t}, lambda x: x.key = '{k}')) > 0 THEN list_transform({t}, lambda x: CASE WHEN x.key = '{k}' THEN {{'key': '{k}', 'values': {v}}} ELSE x END) ELSE list_append({t}, {{'key': '{k}', 'values': {v}}}) END"
+_PATCH = f"""p1 AS (SELECT doc_id, tags AS t0, {_SET('tags', 'TITLE', "['New']")} AS t FROM a), p2 AS (SELECT doc_id, t0, list_append(list_filter(t, lambda x: x.key <> 'COMMENT'), {{'key': 'COMMENT', 'values': ['again']}}) AS t FROM p1),
+p3 AS (SELECT doc_id, t0, {_SET('t', 'GENRE', f"list_append(coalesce({_VALS('t', chr(39) + 'GENRE' + chr(39))}, []::VARCHAR[]), 'Jazz')")} AS t FROM p2), p4 AS (SELECT doc_id, t0, {_SET('t', 'DISCNUMBER', "[' 2/3 ']")} AS t FROM p3)"""
+
+
+@query(_W + f", {_PATCH} SELECT doc_id, {_TELL('t')} AS tags FROM p4")
+def patch_tags(spark, d):
+    """Ordered operations; a cleared key that is set again comes last."""
+    return _orders(spark, d).select("doc_id", tell(T.patch(F.col("tags"), _ops())).alias("tags"))
+
+
+@query("SELECT 'TITLE,COMMENT,GENRE,DISCNUMBER' AS keys, true AS touches_genre, false AS touches_total, 'RECORDINGDATE,COMMENT' AS mapped")
+def patch_inspection(spark, d):
+    """E03, P11, X02."""
+    ops = _ops()
+    dates = F.array(*(F.struct(F.lit("set").alias("kind"), F.lit(k).alias("key"), F.array(F.lit("x")).alias("values")) for k in ("YEAR", "COMMENT")))
+    return spark.range(1).select(F.array_join(T.touched_keys(ops), ",").alias("keys"), T.touches(ops, "GENRE").alias("touches_genre"), T.touches(ops, "DISCTOTAL").alias("touches_total"), F.array_join(T.touched_keys(T.map_keys(dates, X.resolve_alias)), ",").alias("mapped"))
+
+
+def _split_sql(t: str, key: str, total: str, force: bool) -> str:
+    v = f"{_VALS(t, repr(key))}[1]"
+    n, tot = _TRIM(_NUM(v)), _TRIM(_TOT(v))
+    go = f"(len({_VALS(t, repr(key))}) = 1 AND contains({v}, '/') AND {_is_number(repr(key), v)})"
+    number = f"CASE WHEN {n} <> '' THEN list_transform({t}, lambda x: CASE WHEN x.key = '{key}' THEN {{'key': '{key}', 'values': [{n}]}} ELSE x END) ELSE list_filter({t}, lambda x: x.key <> '{key}') END"
+    to = "true" if force else f"len(list_filter({t}, lambda x: x.key = '{total}')) = 0"
+    put = f"CASE WHEN len(list_filter(s, lambda x: x.key = '{total}')) > 0 THEN list_transform(s, lambda x: CASE WHEN x.key = '{total}' THEN {{'key': '{total}', 'values': [{tot}]}} ELSE x END) ELSE list_append(s, {{'key': '{total}', 'values': [{tot}]}}) END"
+    return f"(SELECT doc_id, CASE WHEN go AND {tot} <> '' AND {to} THEN {put} WHEN go THEN s ELSE {t} END AS {t} FROM (SELECT doc_id, {t}, coalesce({go}, false) AS go, {number} AS s FROM "
+
+
+@query(_W + f", s1 AS {_split_sql('tags', 'TRACKNUMBER', 'TRACKTOTAL', False)} a)), s2 AS {_split_sql('tags', 'DISCNUMBER', 'DISCTOTAL', False)} s1)) SELECT doc_id, {_TELL('tags')} AS tags FROM s2")
+def split_pairs(spark, d):
+    """N02, N03."""
+    return _orders(spark, d).select("doc_id", tell(T.split_pairs(F.col("tags"))).alias("tags"))
+
+
+_TRIMMED = f"list_transform(t, lambda x: {{'key': x.key, 'values': CASE WHEN x.key IN {_IN(K.TRIMMABLE)} THEN list_transform(x.\"values\", lambda y: {_TRIM('y')}) ELSE x.\"values\" END}})"
+
+
+@query(_W + f", {_PATCH}, q AS (SELECT doc_id, {_TRIMMED} AS tags FROM p4), s1 AS {_split_sql('tags', 'TRACKNUMBER', 'TRACKTOTAL', True)} q)), s2 AS {_split_sql('tags', 'DISCNUMBER', 'DISCTOTAL', True)} s1)) SELECT doc_id, {_TELL('list_filter(tags, lambda x: len(x.\"values\") > 0)')} AS tags FROM s2")
+def prepare_edit(spark, d):
+    """An edit's outcome."""
+    return _orders(spark, d).select("doc_id", tell(T.prepare(F.col("tags"), _ops())).alias("tags"))
+
+
+# Scalars
+
+
+@query(_W + f"SELECT doc_id, key, v AS value, {_T_V} AS trimmed, {_VALID.replace('v)', 'v)')} AS valid FROM v WHERE key NOT IN ('TITLE', 'COMMENT', 'ENCODER', 'X-CLERK')")
+def value_contracts(spark, d):
+    """N04, N06-N11 on every value with a contract."""
+    v = T.explode_tags(_orders(spark, d)).where("value IS NOT NULL AND key NOT IN ('TITLE', 'COMMENT', 'ENCODER', 'X-CLERK')")
+    return v.select("doc_id", "key", "value", V.trim_token(F.col("key"), F.col("value")).alias("trimmed"), V.is_valid(F.col("key"), F.col("value")).alias("valid"))
+
+
+@query(_W + f"SELECT doc_id, v AS value, coalesce({_INT(_NUM('v'))}, 0) AS number, coalesce({_INT(_TOT('v'))}, 0) AS total, {_CANON('v')} AS canonical, coalesce({_TRIM(_NUM('v'))} = '' AND {_INT(_TOT('v'))} IS NOT NULL, false) AS no_number FROM v WHERE key = 'TRACKNUMBER'")
+def number_pairs(spark, d):
+    """N01, N05."""
+    v = T.explode_tags(_orders(spark, d)).where("key = 'TRACKNUMBER'")
+    n, t = V.parse_pair(F.col("value"), F.lit(None).cast("string"))
+    return v.select("doc_id", "value", n.alias("number"), t.alias("total"), V.canonical_number(F.col("value")).alias("canonical"), F.coalesce(V.empty_number_with_total(F.col("key"), F.col("value")), F.lit(False)).alias("no_number"))
+
+
+@query(f"SELECT p_partkey AS doc_id, {_FOLD(chr(39) + '  ' + chr(39) + ' || p_name || ' + 'chr(9)')} AS folded, CASE WHEN p_size % 7 = 0 THEN NULL ELSE upper(p_name) END AS key, contains(lower(p_name), 'lavf') OR contains(lower(p_name), 'libavformat') AS stamp, CASE WHEN regexp_matches(p_name, '^(?i)(mp|[aeiou])') THEN 'an' ELSE 'a' END AS article FROM part")
+def text_functions(spark, d):
+    """F01, F02, F08, F10."""
+    p, name = spark.read.parquet(f"{d}/part.parquet"), F.col("p_name")
+    spelled = F.when(F.col("p_size") % 7 == 0, F.concat(name, F.lit("="))).otherwise(F.concat(F.lit(" "), name))
+    return p.select(F.col("p_partkey").alias("doc_id"), X.fold(F.concat(F.lit("  "), name, F.lit("\t"))).alias("folded"), X.parse_key(spelled).alias("key"), X.is_transcoder_stamp(name).alias("stamp"), X.indefinite_article(name).alias("article"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in K.ALIASES.items()) + ", ('TITLE', 'TITLE'), ('X', 'X')) t(name, key)")
+def alias_resolution(spark, d):
+    """F03, J13."""
+    return spark.createDataFrame([(a,) for a in (*K.ALIASES, "TITLE", "X")], "name string").select("name", X.resolve_alias(F.col("name")).alias("key"))
+
+
+@query("WITH k AS (SELECT unnest(" + str(sorted(K.KEYS)) + ") AS key), w AS (SELECT DISTINCT upper(p_name) AS word FROM part), d AS (SELECT word, key, levenshtein(word, key) AS n FROM w, k), b AS (SELECT word, key, n, row_number() OVER (PARTITION BY word ORDER BY n, key) AS r FROM d) SELECT word, CASE WHEN n <= 2 AND n < length(word) THEN key END AS closest, n AS distance FROM b WHERE r = 1")
+def closest_key(spark, d):
+    """The nearest known key, at most two edits away."""
+    words = spark.read.parquet(f"{d}/part.parquet").select(F.upper("p_name").alias("word")).distinct()
+    # 68 rows.
+    pairs = words.crossJoin(F.broadcast(K.keys_catalog(spark).select("key"))).withColumn("n", F.levenshtein("word", "key"))
+    best = pairs.groupBy("word").agg(F.min(F.struct("n", "key")).alias("b"))
+    return best.select("word", F.when((F.col("b.n") <= 2) & (F.col("b.n") < F.length("word")), F.col("b.key")).alias("closest"), F.col("b.n").alias("distance"))
+
+
+@query("SELECT event_id, (n // 3600000000000)::VARCHAR || ':' || lpad((n // 60000000000 % 60)::VARCHAR, 2, '0') || ':' || lpad((n // 1000000000 % 60)::VARCHAR, 2, '0') || '.' || lpad((n // 1000000 % 1000)::VARCHAR, 3, '0') AS clock, (n // 1000000) AS ms FROM (SELECT event_id, event_id * 1234567891 AS n FROM events)")
+def clock_times(spark, d):
+    """Times to text and back."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", X.format_chapter_time(F.col("event_id") * F.lit(1234567891)).alias("clock"))
+    return e.select("event_id", "clock", V.clock_ms(F.col("clock")).alias("ms"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 0 THEN 0 ELSE CAST(l_quantity * 1000 AS BIGINT) * 8 END AS bitrate, CAST(l_partkey AS BIGINT) * 1000000 AS ns, CASE WHEN l_suppkey < 1024 THEN CAST(l_suppkey AS VARCHAR) || ' B' ELSE printf('%.1f KiB', l_suppkey / 1024.0) END AS size FROM lineitem")
+def audio_numbers(spark, d):
+    """N13, N14, F06."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", V.average_bitrate((F.col("l_quantity") * 1000).cast("long"), F.lit(1_000_000_000)).cast("long").alias("bitrate"), V.samples_ns(F.col("l_partkey"), F.lit(1000)).alias("ns"), X.human_bytes(F.col("l_suppkey")).alias("size"))
+
+
+@query("SELECT c_custkey AS doc_id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' (' || c_mktsegment || ') ' WHEN c_custkey % 3 = 1 THEN ' ()' ELSE '' END AS credit, c_name || CASE WHEN c_custkey % 3 = 1 THEN ' ()' ELSE '' END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS role FROM customer")
+def performer_credits(spark, d):
+    """F11."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr("c_name || CASE WHEN c_custkey % 3 = 0 THEN ' (' || c_mktsegment || ') ' WHEN c_custkey % 3 = 1 THEN ' ()' ELSE '' END").alias("credit"))
+    return c.select("doc_id", "credit", X.performer_name(F.col("credit")).alias("name"), X.performer_role(F.col("credit")).alias("role"))
+
+
+_CODECS = {"mp4a": "AAC", "alac": "ALAC", "flac": "FLAC", "ac-3": "AC-3", "ec-3": "E-AC-3", "EAC3": "E-AC-3", "MPEG-1 Layer 3": "MP3", "MPEG-2.5 Layer 2": "MP2", "AAC LC": "AAC", "Vorbis": "Vorbis", "pcm_s16le": "pcm_s16le"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in _CODECS.items()) + ") t(raw, codec)")
+def codec_names(spark, d):
+    """F15."""
+    return spark.createDataFrame([(a,) for a in _CODECS], "raw string").select("raw", X.canonical_codec(F.col("raw")).alias("codec"))
+
+
+@query(r"SELECT doc_id, replace(replace(left(text, 200), chr(10), '\x0a'), chr(9), '\x09') AS line, contains(text, chr(0)) AS has_nul FROM documents")
+def escaped_text(spark, d):
+    """F05, F13."""
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    return x.select("doc_id", X.escape_control(F.substring("text", 1, 200)).alias("line"), X.writable_reason(F.col("text")).isNotNull().alias("has_nul"))
+
+
+@query(_W + "SELECT doc_id, '{\"schemaVersion\":1,\"docId\":' || CAST(doc_id AS VARCHAR) || ',\"title\":\"' || " + _VALS("tags", "'TITLE'") + "[1] || '\"}' AS json FROM a")
+def json_documents(spark, d):
+    """Documents as JSON; absent optionals are left out."""
+    t = F.col("tags")
+    return _orders(spark, d).select("doc_id", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("doc_id").alias("docId"), T.first(t, "TITLE").alias("title"), T.first(t, "ALBUM").alias("album"))).alias("json"))
+
+
+# Chapters, lyrics
+
+
+_CH = f"WITH {views.DUCK_CHAPTERS}"
+_LEAD = "lead(start_ns) OVER (PARTITION BY doc_id ORDER BY pos)"
+
+
+def _rows(df: DataFrame, *extra: Column) -> DataFrame:
+    c = df.select("doc_id", F.posexplode("chapters").alias("i", "c"), *extra)
+    return c.select("doc_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("c.start_ns").alias("start_ns"), F.col("c.end_ns").alias("end_ns"))
+
+
+@query(_CH + f" SELECT doc_id, pos, start_ns, CASE WHEN end_ns = 0 AND n > start_ns THEN n ELSE end_ns END AS end_ns FROM (SELECT *, {_LEAD} AS n FROM ch)")
+def chapter_ends(spark, d):
+    """W01, by windows over rows."""
+    return C.fill_interior_ends_rows(views.event_chapters(spark, d)).select("doc_id", "pos", "start_ns", "end_ns")
+
+
+@query(SQL["chapter_ends"])
+def chapter_ends_arrays(spark, d):
+    """W01, within a document's array."""
+    return _rows(views.chapter_arrays(spark, d).withColumn("chapters", C.fill_interior_ends(F.col("chapters"))))
+
+
+@query(_CH + f" SELECT doc_id, pos, start_ns, CASE WHEN coalesce(end_ns = n, false) OR (n IS NULL AND end_ns >= 50000000000) THEN 0 ELSE end_ns END AS end_ns FROM (SELECT *, {_LEAD} AS n FROM ch)")
+def chapter_open_ends(spark, d):
+    """W02, W03."""
+    return _rows(views.chapter_arrays(spark, d).withColumn("chapters", C.normalize_ends(F.col("chapters"), F.lit(50_000_000_123))))
+
+
+@query(_CH + f" SELECT doc_id, pos, start_ns, CASE WHEN end_ns > n AND n > start_ns AND NOT (pos % 2 = 0) THEN n ELSE end_ns END AS end_ns FROM (SELECT *, {_LEAD} AS n FROM ch)")
+def chapter_overlaps(spark, d):
+    """Edited chapters (here the odd ones) are cut at the next start. Starts differ within a document, or an equal chapter of the base excuses both."""
+    a = views.chapter_arrays(spark, d)
+    base = F.filter("chapters", lambda c: c["pos"] % 2 == 0)
+    return _rows(a.withColumn("chapters", C.reconcile_overlaps(F.col("chapters"), base)))
+
+
+@query(_CH + f" SELECT doc_id, count(*) FILTER (pos % 5 = 0) AS flags, count(*) FILTER (pos % 5 = 0 OR (end_ns <> 0 AND NOT coalesce(end_ns = n, false))) AS start_title FROM (SELECT *, {_LEAD} AS n FROM ch) GROUP BY 1")
+def chapter_losses(spark, d):
+    """W05."""
+    n = lambda loss: F.size(F.filter(C.loses_metadata(F.col("chapters"), loss), lambda x: x)).cast("long")
+    return views.chapter_arrays(spark, d).select("doc_id", n("flags").alias("flags"), n("start-title").alias("start_title"))
+
+
+@query(_CH + ", g AS (SELECT *, CASE WHEN start_ns = lag(start_ns) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS s FROM ch), r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g) SELECT doc_id, min(start_ns) AS start_ns, count(*) AS n FROM r GROUP BY doc_id, run HAVING count(*) > 1 AND bool_or(is_new)")
+def chapter_runs(spark, d):
+    """Runs of equal starts."""
+    return C.equal_start_runs(views.event_chapters(spark, d))
+
+
+@query(_CH + " SELECT doc_id, pos, start_ns, title FROM ch")
+def chapter_order(spark, d):
+    """A stable sort brings a shuffled list back."""
+    a = views.chapter_arrays(spark, d).select("doc_id", C.sort_by_start(F.array_sort("chapters", lambda x, y: F.when(x["title"] < y["title"], -1).when(x["title"] > y["title"], 1).when(x["pos"] < y["pos"], -1).otherwise(1))).alias("chapters"))
+    e = a.select("doc_id", F.explode("chapters").alias("c")).select("doc_id", "c.pos", "c.start_ns", "c.title")
+    return e
+
+
+@query(_CH + " SELECT doc_id, true AS same, CASE WHEN count(*) = 0 THEN true ELSE false END AS shifted FROM ch GROUP BY 1")
+def chapter_sources(spark, d):
+    """Two lists of one file agree within half a second."""
+    late = lambda by: F.transform("chapters", lambda c: c.withField("start_ns", c["start_ns"] + by))
+    return views.chapter_arrays(spark, d).select("doc_id", C.sources_agree(F.col("chapters"), late(400_000_000)).alias("same"), C.sources_agree(F.col("chapters"), late(600_000_000)).alias("shifted"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, turn * 61234 AS ms, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS t FROM conversations), g AS (SELECT conv_id, greatest(ms - 500, 0) AS ms, t, turn FROM l),
+r AS (SELECT conv_id, ms, regexp_replace(t, '^ ', '') AS t, turn FROM g) SELECT conv_id, count(*) AS lines, min(ms) AS first_ms, max(ms) AS last_ms, sum(length(t))::BIGINT AS chars FROM r GROUP BY 1""")
+def lrc_roundtrip(spark, d):
+    """Conversations written as timed lyrics and parsed, an offset subtracted."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
+    line = F.struct((F.col("turn") * 61234).alias("time_ms"), F.col("t").alias("text"))
+    lrc = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("l")).select("conv_id", F.concat(F.lit("[offset:500]\n"), C.format_lrc(F.col("l"))).alias("lrc"))
+    p = lrc.select("conv_id", F.explode(C.parse_lrc(F.col("lrc"))).alias("x"))
+    return p.groupBy("conv_id").agg(F.count("*").alias("lines"), F.min("x.time_ms").alias("first_ms"), F.max("x.time_ms").alias("last_ms"), F.sum(F.length("x.text")).alias("chars"))
+
+
+# Transfer
+
+
+_FORMATS = ("FLAC", "MP3", "MP4", "Matroska")
+_TO = "CASE doc_id % 4 WHEN 0 THEN 'FLAC' WHEN 1 THEN 'MP3' WHEN 2 THEN 'MP4' ELSE 'Matroska' END"
+_GRADE = f"""g0 AS (SELECT k.doc_id, {_TO.replace('doc_id', 'k.doc_id')} AS format, key, vals, tags, k.doc_id % 50 = 0 AS ro FROM k JOIN a USING (doc_id)),
+g AS (SELECT doc_id, format, key, len(vals)::INT AS n_values, CASE WHEN key IN {_IN(K.OWN_AUDIO)} THEN 'excluded' WHEN ro THEN 'dropped'
+WHEN format = 'MP4' AND key IN {_IN((*K.NUMBER_PAIR, 'MEDIATYPE'))} AND len(list_filter(vals, lambda x: {_INT('x')} IS NOT NULL)) = 0 THEN 'dropped'
+WHEN format = 'MP3' AND key = 'TRACKTOTAL' AND {_VALS('tags', "'TRACKNUMBER'")}[1] IS NOT NULL AND {_INT(_VALS('tags', "'TRACKNUMBER'") + '[1]')} IS NULL THEN 'dropped'
+WHEN format = 'Matroska' AND key = 'TITLE' AND len(vals) > 1 THEN 'lossy' ELSE 'carried' END AS disposition FROM g0)"""
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    return R.grade_fields(_orders(spark, d), F.expr(_TO), F.expr("doc_id % 50 = 0"))
+
+
+@query(_W + f", {_GRADE} SELECT doc_id, format, key, n_values, disposition FROM g")
+def transfer_grades(spark, d):
+    """T01, T02, T06, T07."""
+    return _graded(spark, d)
+
+
+@query(_W + f", {_GRADE} SELECT format, count(*) FILTER (disposition = 'carried') AS carried, count(*) FILTER (disposition = 'lossy') AS lossy, count(*) FILTER (disposition = 'dropped') AS dropped, count(*) FILTER (disposition IN ('lossy', 'dropped')) = 0 AS lossless FROM g GROUP BY 1")
+def transfer_tally(spark, d):
+    """A08."""
+    return R.tally(_graded(spark, d), ["format"])
+
+
+@query(_W + f"""SELECT doc_id, {_TELL(f"list_concat(list_transform(tags_b, lambda y: coalesce(list_filter(kept, lambda x: x.key = y.key)[1], y)), list_filter(kept, lambda x: len(list_filter(tags_b, lambda y: y.key = x.key)) = 0))")} AS tags FROM (SELECT *, list_filter(tags, lambda x: x.key NOT IN {_IN(K.OWN_AUDIO)} AND NOT (x.key = 'PLAYCOUNT')) AS kept FROM a)""")
+def transfer_result(spark, d):
+    """The destination afterwards; excluded and dropped keys keep what was there."""
+    dispositions = F.map_from_entries(F.transform("tags", lambda t: F.struct(t["key"], F.when(t["key"].isin(*K.OWN_AUDIO), "excluded").when(t["key"] == "PLAYCOUNT", "dropped").otherwise("carried"))))
+    return _orders(spark, d).select("doc_id", tell(R.transfer(F.col("tags"), F.col("tags_b"), dispositions)).alias("tags"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS kept, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS dropped FROM part")
+def picture_partition(spark, d):
+    """U05, T04."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    pics = F.array(*(F.struct(m.alias("mime")) for m in (F.lit("image/png"), F.when(F.col("p_size") % 2 == 0, "image/jpeg").otherwise("image/webp"))))
+    kept, out = R.partition_pictures(pics, F.lit("image/jpeg,image/png,image/bmp"))
+    return p.select(F.col("p_partkey").alias("doc_id"), F.size(kept).cast("long").alias("kept"), F.size(out).cast("long").alias("dropped"))
