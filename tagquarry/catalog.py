@@ -416,7 +416,7 @@ def clock_times(spark, d):
     return e.select("event_id", "clock", V.clock_ms(F.col("clock")).alias("ms"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 0 THEN 0 ELSE CAST(l_quantity * 1000 AS BIGINT) * 8 END AS bitrate, CAST(l_partkey AS BIGINT) * 1000000 AS ns, CASE WHEN l_suppkey < 1024 THEN CAST(l_suppkey AS VARCHAR) || ' B' ELSE printf('%.1f KiB', l_suppkey / 1024.0) END AS size FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 0 THEN 0 ELSE CAST(l_quantity * 1000 AS BIGINT) * 8 END AS bitrate, CAST(trunc(l_partkey::DOUBLE / 1000::DOUBLE * 1e9) AS BIGINT) AS ns, CASE WHEN l_suppkey < 1024 THEN CAST(l_suppkey AS VARCHAR) || ' B' ELSE printf('%.1f KiB', l_suppkey / 1024.0) END AS size FROM lineitem")
 def audio_numbers(spark, d):
     """N13, N14, F06."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")

@@ -97,12 +97,14 @@ def diff(base: Column, edited: Column, numeric: Column | None = None) -> Column:
     make = lambda what, key, b, a: F.struct(F.lit(what).alias("kind"), key.alias("key"), b.alias("before"), a.alias("after"))
 
     def old(t: Column) -> Column:
-        new = values_of(edited, t["key"])
-        same = t["values"] == new
-        if numeric is not None:
-            by_number = (F.size(t["values"]) == F.size(new)) & F.forall(F.zip_with(t["values"], new, same_number), lambda x: x)
-            same = same | (numeric & t["key"].isin(*CANONICAL_NUMBERS) & by_number)
-        return F.when(new.isNull(), make("removed", t["key"], t["values"], none)).when(~same, make("changed", t["key"], t["values"], new))
+        def met(new: Column) -> Column:
+            same = t["values"] == new
+            if numeric is not None:
+                by_number = (F.size(t["values"]) == F.size(new)) & F.forall(F.zip_with(t["values"], new, same_number), lambda x: x)
+                same = same | (numeric & t["key"].isin(*CANONICAL_NUMBERS) & by_number)
+            return F.when(new.isNull(), make("removed", t["key"], t["values"], none)).when(~same, make("changed", t["key"], t["values"], new))
+
+        return let(values_of(edited, t["key"]), met)
 
     one = F.filter(F.transform(base, old), lambda c: c.isNotNull())
     two = F.transform(F.filter(edited, lambda t: ~has(base, t["key"])), lambda t: make("added", t["key"], none, t["values"]))
@@ -121,14 +123,11 @@ def change_line(c: Column) -> Column:
 
 def union_values(a: Column, b: Column) -> Column:
     """a then b; of values that fold alike the first spelling stays."""
-    both = F.concat(a, b)
-    folded = F.transform(both, fold)
-    return F.filter(both, lambda v, i: F.array_position(folded, fold(v)) == i + 1)
+    return let(F.concat(a, b), lambda both: let(F.transform(both, fold), lambda f: F.filter(both, lambda v, i: F.array_position(f, F.get(f, i)) == i + 1)))
 
 
 def rejected(selected: Column, base: Column, incoming: Column) -> Column:
-    kept = F.transform(selected, fold)
-    return F.filter(F.concat(base, incoming), lambda v: ~F.array_contains(kept, fold(v)))
+    return let(F.transform(selected, fold), lambda kept: F.filter(F.concat(base, incoming), lambda v: ~F.array_contains(kept, fold(v))))
 
 
 def distinct_values(values: Column) -> Column:
@@ -153,29 +152,28 @@ def merge(base: Column, incoming: Column, strategy: str) -> Column:
         raise ValueError(f"no such strategy: {strategy}")
     none = F.array().cast("array<string>")
 
-    def one(key: Column) -> Column:
-        b, i = values_of(base, key), values_of(incoming, key)
-        bv, iv = F.coalesce(b, none), F.coalesce(i, none)
-        from_base, from_incoming = (bv, F.lit("base")), (iv, F.lit("incoming"))
+    def choice(b: Column, i: Column, bv: Column, iv: Column) -> Column:
+        from_ = lambda v, source: F.struct(v.alias("v"), F.lit(source).alias("s"))
         if strategy == "prefer-incoming":
-            rules = [(i.isNotNull(), from_incoming)]
-            last = from_base
-        elif strategy == "prefer-base":
-            rules = [(b.isNotNull(), from_base)]
-            last = from_incoming
-        elif strategy == "fill-empty":
-            rules = [(b.isNotNull() & F.exists(bv, lambda v: utrim(v) != ""), from_base), (i.isNotNull(), from_incoming)]
-            last = from_base
-        else:
-            u = union_values(bv, iv)
-            rules = [(b.isNotNull() & i.isNotNull(), (u, F.lit("union"))), (b.isNotNull(), (u, F.lit("base")))]
-            last = (u, F.lit("incoming"))
-        selected, source = last
-        for when, (v, s) in reversed(rules):
-            selected, source = F.when(when, v).otherwise(selected), F.when(when, s).otherwise(source)
-        capped = single_valued_multi(key, selected)
-        out = F.when(capped, F.slice(selected, 1, 1)).otherwise(selected)
-        return F.struct(key.alias("key"), out.alias("values"), source.alias("source"), capped.alias("capped"), rejected(out, bv, iv).alias("rejected"))
+            return F.when(i.isNotNull(), from_(iv, "incoming")).otherwise(from_(bv, "base"))
+        if strategy == "prefer-base":
+            return F.when(b.isNotNull(), from_(bv, "base")).otherwise(from_(iv, "incoming"))
+        if strategy == "fill-empty":
+            return F.when(F.exists(bv, lambda v: utrim(v) != ""), from_(bv, "base")).when(i.isNotNull(), from_(iv, "incoming")).otherwise(from_(bv, "base"))
+        source = F.when(b.isNotNull() & i.isNotNull(), "union").when(b.isNotNull(), "base").otherwise("incoming")
+        return F.struct(union_values(bv, iv).alias("v"), source.alias("s"))
+
+    def outcome(key: Column, bv: Column, iv: Column, c: Column) -> Column:
+        capped = single_valued_multi(key, c["v"])
+        return let(
+            F.when(capped, F.slice(c["v"], 1, 1)).otherwise(c["v"]),
+            lambda out: F.struct(key.alias("key"), out.alias("values"), c["s"].alias("source"), capped.alias("capped"), rejected(out, bv, iv).alias("rejected")),
+        )
+
+    def one(key: Column) -> Column:
+        sides = F.struct(values_of(base, key).alias("b"), values_of(incoming, key).alias("i"))
+        full = lambda x: F.struct(x["b"].alias("b"), x["i"].alias("i"), F.coalesce(x["b"], none).alias("bv"), F.coalesce(x["i"], none).alias("iv"))
+        return let(let(sides, full), lambda x: let(choice(x["b"], x["i"], x["bv"], x["iv"]), lambda c: outcome(key, x["bv"], x["iv"], c)))
 
     every = F.concat(keys(base), keys(F.filter(incoming, lambda t: ~has(base, t["key"]))))
     return F.transform(every, one)
