@@ -85,7 +85,8 @@ _STAMP = r"\[([0-9]{1,7}):([0-9]{1,2})(?::([0-9]{1,2}))?(?:[.:]([0-9]{1,9}))?\]"
 
 def parse_lrc(text: Column) -> Column:
     """array<struct<time_ms, text>> of a timed lyric: each of a line's leading stamps gives an entry; the first [offset:] is subtracted, within bounds; stable order by time."""
-    lines = F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\n|\r")
+    text = F.regexp_replace(text, "^﻿", "")
+    lines = F.split(text, "\r\n|\n|\r")
     lead = rf"^(?:{_STAMP.replace('(', '(?:').replace('(?:?:', '(?:')})+"
     offset = F.coalesce(F.regexp_extract(text, r"(?im)^\[offset:\s*([+-]?[0-9]{1,12})\s*\]", 1).try_cast("long"), F.lit(0))
 

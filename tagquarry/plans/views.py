@@ -78,19 +78,19 @@ DUCK_CONTRIBUTIONS = f"c AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT A
 
 
 def event_chapters(s: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id (the user), pos, start_ns, end_ns, title, is_new: a user's events as chapters, whole seconds since the user's first, in order of time and id; every third has an end."""
+    """doc_id (the user), pos, start_ns, end_ns, title, is_new: a user's events as chapters, whole days since the user's first, in order of time and id; every third has an end."""
     e = s.read.parquet(f"{sf_dir}/events.parquet")
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id")
     at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts AS timestamp_ntz))")
-    e = e.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("s", (at - F.min(at).over(w)) * F.lit(1_000_000_000)).withColumn("pos", F.row_number().over(w.orderBy(at, "event_id")).cast("long"))
+    e = e.where("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("s", F.floor((at - F.min(at).over(w)) / 86400) * F.lit(86_400_000_000_000)).withColumn("pos", F.row_number().over(w.orderBy(at, "event_id")).cast("long"))
     return e.select(F.col("user_id").alias("doc_id"), "pos", F.col("s").alias("start_ns"), F.expr("CASE WHEN event_id % 3 = 0 THEN s + (event_id % 100000) * 1000000000 ELSE 0L END").alias("end_ns"), F.col("event_type").alias("title"), F.expr("event_id % 2 = 0").alias("is_new"))
 
 
 DUCK_CHAPTERS = """e AS (SELECT event_id, user_id AS doc_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type AS title FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, event_id) AS pos, (t - min(t) OVER (PARTITION BY doc_id)) * 1000000000 AS start_ns, title, event_id,
-  CASE WHEN event_id % 3 = 0 THEN (t - min(t) OVER (PARTITION BY doc_id)) * 1000000000 + (event_id % 100000) * 1000000000 ELSE 0 END AS end_ns, event_id % 2 = 0 AS is_new FROM e)"""
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, event_id) AS pos, (t - min(t) OVER (PARTITION BY doc_id)) // 86400 * 86400000000000 AS start_ns, title, event_id,
+  CASE WHEN event_id % 3 = 0 THEN (t - min(t) OVER (PARTITION BY doc_id)) // 86400 * 86400000000000 + (event_id % 100000) * 1000000000 ELSE 0 END AS end_ns, event_id % 2 = 0 AS is_new FROM e)"""
 
 
 def chapter_arrays(s: SparkSession, sf_dir: str) -> DataFrame:
