@@ -92,7 +92,7 @@ def _unlike(bags: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(bags), bool)
     for i, b in enumerate(bags):
         if len(b):
-            mins = [int(((b * m + m) % 1048573).min()) for m in (7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301)]
+            mins = [int(((b.astype(np.int64) * m + m) % 1048573).min()) for m in (7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301)]
             keys = [(k, *mins[3 * k : 3 * k + 3]) for k in range(3)]
             out[i] = not any(k in seen for k in keys)
             seen.update(keys)
@@ -103,9 +103,11 @@ def _select(bags: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float,
     once = np.zeros(len(bags), bool)
     for rows in (np.flatnonzero(p), np.flatnonzero(u & ~p)):
         once[rows[_unlike([bags[i] for i in rows])]] = True
-    flat = np.concatenate(bags)
-    of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    kp, ku = np.bincount(flat[(p & once)[of]], minlength=BUCKETS), np.bincount(flat[(u & once)[of]], minlength=BUCKETS)
+    kp, ku = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i in np.flatnonzero(once):
+        # A bag has each feature once.
+        kp[bags[i]] += p[i]
+        ku[bags[i]] += u[i]
     n_p, n_u = max(1, (p & once).sum()), max(1, (u & once).sum())
     share_p, share_u, pooled = kp / n_p, ku / n_u, (kp + ku) / (n_p + n_u)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -122,7 +124,7 @@ def _select(bags: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float,
 
 def train(table: pa.Table, prior: float, most: int = MAX_FEATURES, steps: int = STEPS) -> Model:
     none = Model(np.zeros(BUCKETS, np.float32), -1.0, prior)
-    bags = [np.asarray(b.values if b is not None else [], np.int64) for b in table["bag"].combine_chunks()] if table.num_rows else []
+    bags = [np.asarray(b.values if b is not None else [], np.int32) for b in table["bag"].combine_chunks()] if table.num_rows else []
     p, u = np.array(table["p"].to_pylist(), bool), np.array(table["u"].to_pylist(), bool)
     if not p.any() or not 0 < prior < 1 or not sum(map(len, bags)):
         return none
@@ -138,12 +140,14 @@ def train(table: pa.Table, prior: float, most: int = MAX_FEATURES, steps: int =
         at[at == len(chosen)] = 0
         x[i, at[chosen[at] == b]] = 1
     xp, xu = x[p], x[u]
+    del x
     w, bias = np.zeros(len(chosen)), -1.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     soft = lambda z: np.logaddexp(0, z)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = xp @ w + bias, xu @ w + bias
+        single = w.astype(np.float32)  # or numpy would copy the matrices as doubles
+        zp, zu = (xp @ single).astype(float) + bias, (xu @ single).astype(float) + bias
         negative = soft(zu).mean() - prior * soft(zp).mean()
         # Gradients by score: loss(+) = soft(-z), loss(-) = soft(z).
         gp, gu = -prior * sig(-zp) / len(zp), np.zeros(len(zu))
@@ -151,7 +155,7 @@ def train(table: pa.Table, prior: float, most: int = MAX_FEATURES, steps: int =
             gu, gp = sig(zu) / len(zu), gp - prior * sig(zp) / len(zp)
         else:
             gu, gp = -sig(zu) / len(zu), prior * sig(zp) / len(zp)
-        g = np.append(xp.T @ gp + xu.T @ gu + DECAY * w / len(zu), gp.sum() + gu.sum())
+        g = np.append((xp.T @ gp.astype(np.float32)).astype(float) + xu.T @ gu.astype(np.float32) + DECAY * w / len(zu), gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
