@@ -18,6 +18,8 @@ from .operators import lint as L
 from .operators import tags as T
 from .operators import transfer as R
 from .plans import views
+from .sources.edit import rewrite
+from .sources.media import parse_media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -453,6 +455,18 @@ def json_documents(spark, d):
     return _orders(spark, d).select("doc_id", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("doc_id").alias("docId"), T.first(t, "TITLE").alias("title"), T.first(t, "ALBUM").alias("album"))).alias("json"))
 
 
+# Files
+
+
+@query(_W + f", q AS (SELECT doc_id, {_TRIMMED.replace('list_transform(t,', 'list_transform(tags,')} AS tags FROM a), s1 AS {_split_sql('tags', 'TRACKNUMBER', 'TRACKTOTAL', False)} q)), s2 AS {_split_sql('tags', 'DISCNUMBER', 'DISCTOTAL', False)} s1)) SELECT doc_id, 'FLAC' AS format, {_TELL('list_filter(tags, lambda x: len(x.\"values\") > 0)')} AS tags, 1000 AS ms FROM s2")
+def media_roundtrip(spark, d):
+    """Each order's tags are written into a FLAC file, which is read again."""
+    blank = F.lit(bytearray(views.silent_flac()))
+    o = _orders(spark, d).select(F.col("doc_id").cast("string").alias("path"), blank.alias("content"), F.transform("tags", lambda t: F.struct(F.lit("set").alias("kind"), t["key"].alias("key"), t["values"].alias("values"))).alias("ops"))
+    m = parse_media(rewrite(o, F.col("ops")).select("path", "content"))
+    return m.select(F.col("path").cast("long").alias("doc_id"), "format", tell(F.col("tags")).alias("tags"), (F.get("tracks", F.lit(0))["duration_ns"] / 1_000_000).cast("int").alias("ms"))
+
+
 # Chapters, lyrics
 
 

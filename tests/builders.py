@@ -63,7 +63,7 @@ def xing(frames):
 
 def adts(n=5, size=20):
     total = 7 + size
-    return bytes([0xFF, 0xF1, 1 << 6 | 4 << 2, 2 << 6 | total >> 11, total >> 3 & 255, (total & 7) << 5, 0]) .__add__(b"\1" * size) * n
+    return (bytes([0xFF, 0xF1, 1 << 6 | 4 << 2, 2 << 6 | total >> 11, total >> 3 & 255, (total & 7) << 5, 0]) + b"\1" * size) * n
 
 
 def chunk(name, data, big=False):
