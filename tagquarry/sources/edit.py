@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tags as T
-from .media import parse_media
 
 _OUT = "path string, content binary, changed boolean, error string"
 
@@ -20,14 +19,23 @@ def rewrite(files: DataFrame, ops: Column) -> DataFrame:
 
     A file that can't be parsed or written has null content and an error; one whose tags don't change keeps its bytes.
     """
-    # The bytes go through the scan twice and meet the parsed tags by path, which is unique in a listing.
-    parsed = parse_media(files).select(F.col("path").alias("_path"), "tags", F.col("error.message").alias("_error"))
-    joined = files.select("path", "content", ops.alias("_ops")).join(parsed, F.col("path") == F.col("_path"))
-    new = T.prepare(F.coalesce("tags", T.no_tags()), F.col("_ops"))
-    rows = joined.select("path", "content", new.alias("new"), (~T.equal(new, F.col("tags"))).alias("changed"), "_error")
+    # The bytes travel along with the tags that are read from them, so nothing is shuffled.
+    read = files.select("path", "content", ops.alias("ops")).mapInArrow(_read, f"path string, content binary, ops {T.OPS}, tags {T.TAGS}, error string")
+    new = T.prepare(F.coalesce("tags", T.no_tags()), F.col("ops"))
+    rows = read.select("path", "content", new.alias("new"), "tags", "error").select("path", "content", "new", (~T.equal(F.col("new"), F.col("tags"))).alias("changed"), "error")
     return rows.mapInArrow(_write, _OUT)
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from .media import row
+
+    kind = pa.list_(pa.struct([("key", pa.string()), ("values", pa.list_(pa.string()))]))
+    for b in batches:
+        found = [row(p, c.as_py()) for p, c in zip(b.column(0).to_pylist(), b.column(1))]
+        errors = [r["error"] and r["error"]["message"] for r in found]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r["tags"] for r in found], kind), pa.array(errors, pa.string())], ["path", "content", "ops", "tags", "error"])
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .writers import write
 
