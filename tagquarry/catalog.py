@@ -586,3 +586,10 @@ def picture_partition(spark, d):
     pics = F.array(*(F.struct(m.alias("mime")) for m in (F.lit("image/png"), F.when(F.col("p_size") % 2 == 0, "image/jpeg").otherwise("image/webp"))))
     kept, out = R.partition_pictures(pics, F.lit("image/jpeg,image/png,image/bmp"))
     return p.select(F.col("p_partkey").alias("doc_id"), F.size(kept).cast("long").alias("kept"), F.size(out).cast("long").alias("dropped"))
+
+
+@query(_CH + f""", x AS (SELECT *, {_TO} AS format, {_LEAD} AS n FROM ch), y AS (SELECT doc_id, format, count(*) AS k, count(*) FILTER (CASE format WHEN 'Matroska' THEN false WHEN 'MP3' THEN pos % 5 = 0 ELSE pos % 5 = 0 OR (end_ns <> 0 AND NOT coalesce(end_ns = n, false)) END) AS l FROM x GROUP BY 1, 2)
+SELECT doc_id, format, 'chapters' AS dimension, CASE WHEN format IN ('MP3', 'MP4') AND k > 255 THEN 0 ELSE k - l END AS carried, CASE WHEN format IN ('MP3', 'MP4') AND k > 255 THEN 0 ELSE l END AS lossy, CASE WHEN format IN ('MP3', 'MP4') AND k > 255 THEN k ELSE 0 END AS dropped FROM y""")
+def transfer_sets(spark, d):
+    """Chapter lists graded as sets."""
+    return R.grade_sets(views.chapter_arrays(spark, d), F.expr(_TO))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.values import integer
 from ..functions.vocabulary import NUMBER_PAIR, OWN_AUDIO
 from . import tags as T
+from .chapters import loses_metadata
 
 #: format, dimension, write (full, partial, none), max_items (0: no bound), loss, mimes.
 CAPABILITIES = [
@@ -91,3 +92,37 @@ def partition_pictures(pics: Column, mimes: Column) -> tuple[Column, Column]:
     """Pictures whose MIME the format takes, and the others. mimes: a list by commas; an entry that ends in a slash takes all below it; empty takes all."""
     ok = lambda p: (mimes == "") | F.exists(F.split(mimes, ","), lambda m: F.when(F.endswith(m, F.lit("/")), F.startswith(p["mime"], m)).otherwise(p["mime"] == m))
     return F.filter(pics, ok), F.filter(pics, lambda p: ~ok(p))
+
+
+def split_set(write: Column, max_items: Column, items: Column, drops: Column, loses: Column) -> Column:
+    """carried, lossy, dropped of a set of items. A set that can't be written, or is beyond the bound, is dropped whole. drops, loses: a boolean for each item."""
+    n = F.size(items)
+    count = lambda flags: F.size(F.filter(flags, lambda x: x))
+    out, less = count(drops), count(F.zip_with(drops, loses, lambda d, x: ~d & x))
+    counts = lambda c, x, d: F.struct(c.cast("long").alias("carried"), x.cast("long").alias("lossy"), d.cast("long").alias("dropped"))
+    return F.when((write == "none") | ((max_items > 0) & (n > max_items)), counts(F.lit(0), F.lit(0), n)).otherwise(counts(n - out - less, less, out))
+
+
+def grade_sets(df: DataFrame, to: Column, doc: str = "doc_id") -> DataFrame:
+    """doc, format, dimension, carried, lossy, dropped for the pictures, chapters and lyrics that df has as columns."""
+    per = F.map_from_entries(F.collect_list(F.struct("dimension", F.struct("write", "max_items", "loss", "mimes"))))
+    # A row for each of the ten formats.
+    caps = capabilities(df.sparkSession).groupBy(F.col("format").alias("_f")).agg(per.alias("_caps"))
+    rows = df.withColumn("_to", to).join(F.broadcast(caps), F.col("_to") == F.col("_f"))
+    cap = lambda d: F.try_element_at(F.col("_caps"), F.lit(d))
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    never = lambda items: F.transform(items, lambda x: F.lit(False))
+    out = []
+    if "pictures" in df.columns:
+        c, pics = cap("pictures"), F.col("pictures")
+        fits = lambda p: (c["mimes"] == "") | F.exists(F.split(c["mimes"], ","), lambda m: F.when(F.endswith(m, F.lit("/")), F.startswith(p["mime"], m)).otherwise(p["mime"] == m))
+        out.append(("pictures", split_set(c["write"], c["max_items"], pics, F.transform(pics, lambda p: ~fits(p)), F.transform(pics, lambda p: (c["loss"] == "role") & (~p["type"].isin(0, 3) | text(p["description"]))))))
+    if "chapters" in df.columns:
+        c, ch = cap("chapters"), F.col("chapters")
+        loses = F.when(c["loss"] == "flags", loses_metadata(ch, "flags")).when(c["loss"] == "start-title", loses_metadata(ch, "start-title")).otherwise(never(ch))
+        out.append(("chapters", split_set(c["write"], c["max_items"], ch, never(ch), loses)))
+    if "synced_lyrics" in df.columns:
+        c, ly = cap("lyrics"), F.col("synced_lyrics")
+        out.append(("lyrics", split_set(c["write"], c["max_items"], ly, never(ly), F.transform(ly, lambda x: (c["loss"] == "language") & (text(x["language"]) | text(x["description"]))))))
+    each = F.array(*(F.struct(F.lit(d).alias("dimension"), x.alias("n")) for d, x in out))
+    return rows.select(doc, F.col("_to").alias("format"), F.explode(each).alias("e")).select(doc, "format", "e.dimension", "e.n.*")

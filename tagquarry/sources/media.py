@@ -1,4 +1,7 @@
-"""Audio files as rows: a binaryFile scan and a parser over Arrow batches, one row a file."""
+"""Audio files as rows: a binaryFile scan and a parser over Arrow batches, one row a file.
+
+Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so large files come in small batches.
+"""
 
 from __future__ import annotations
 

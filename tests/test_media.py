@@ -48,3 +48,13 @@ def test_commands(spark, tmp_path, capsys):
     assert "~ TITLE: x -> new" in said and "malformed-date" in said and '"schemaVersion":1' in said and "ACOUSTID_ID" in said
     m = media.read_media(spark, str(a))
     assert {r[0] for r in m.select(M.duration_ns(F.col("tracks")) > 0).collect()} == {True} and m.select(F.max(M.padding(F.col("native")))).first()[0] == 10
+
+
+def test_sets(spark, tmp_path):
+    from tagquarry.operators.transfer import grade_sets
+
+    (tmp_path / "x.flac").write_bytes(B.flac([("TITLE", "x"), ("CHAPTER001", "00:00:01.000")], [(3, "image/png", ""), (4, "image/png", "d"), (3, "image/gif", "", b"GIF89a\5\0\6\0\x87" + b"\0" * 20)]))
+    m = media.read_media(spark, str(tmp_path))
+    got = lambda to: {r.dimension: (r.carried, r.lossy, r.dropped) for r in grade_sets(m, F.lit(to), "path").collect()}
+    assert got("MP4") == {"pictures": (1, 1, 1), "chapters": (1, 0, 0), "lyrics": (0, 0, 0)}
+    assert got("WebM")["pictures"] == (0, 0, 3) and got("FLAC")["pictures"] == (3, 0, 0) and got("Matroska")["pictures"] == (2, 1, 0)
