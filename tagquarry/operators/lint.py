@@ -12,7 +12,7 @@ from . import tags as T
 FINDINGS = "array<struct<severity:string,code:string,key:string,detail:string>>"
 #: Severity of the parse warnings that lint takes over.
 PROMOTED = {
-    **dict.fromkeys(("stray-leading-id3", "trailing-id3v1", "legacy-ape", "inherited-encoder", "invalid-picture", "truncated-audio", "invalid-tag-key"), "warning"),
+    **dict.fromkeys(("truncated-audio", "invalid-tag-key", "invalid-picture", "inherited-encoder", "legacy-ape", "trailing-id3v1", "stray-leading-id3"), "warning"),
     **dict.fromkeys(("multiple-vorbis-comment", "duplicate-tag-block", "no-audio"), "error"), "numeric-genre": "info",
 }
 RANK = {"info": 0, "warning": 1, "error": 2}

@@ -140,7 +140,7 @@ _FRAMES = {k: f for f, k in reversed(K.ID3_FRAMES.items())}
 _TXXX = {k: n for n, k in reversed(K.ID3_TXXX.items())}
 _ROLE = {"PRODUCER": "producer", "ENGINEER": "engineer", "MIXER": "mix", "ARRANGER": "arranger", "DJMIXER": "DJ-mix"}
 _DATES = {"RECORDINGDATE": "TDRC", "RELEASEDATE": "TDRL", "ORIGINALDATE": "TDOR"}
-_MODELLED = {*K.ID3_FRAMES, *_DATES.values(), "TYER", "TDAT", "TIME", "TORY", "TXXX", "TCON", "TRCK", "TPOS", "TIPL", "IPLS", "UFID", "COMM", "USLT"}
+_MODELLED = {*K.ID3_FRAMES, *_DATES.values(), *"COMM USLT UFID TXXX TCON TRCK TPOS TIPL IPLS TYER TDAT TIME TORY".split()}
 
 
 def _frames(b: bytes) -> list[tuple[str, bytes, bytes]]:

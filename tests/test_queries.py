@@ -59,7 +59,7 @@ def test_vocabulary():
 def test_value_cases(spark):
     num = [("TRACKNUMBER", "3"), ("TRACKNUMBER", " 3 "), ("TRACKNUMBER", "3/4"), ("TRACKNUMBER", "-1"), ("TRACKNUMBER", "3/"), ("TRACKNUMBER", "/2"), ("TRACKNUMBER", "abc"), ("TRACKNUMBER", "3/x"), ("TRACKTOTAL", "3/4"), ("TRACKNUMBER", "/"), ("TRACKNUMBER", "1/2/3"), ("TRACKNUMBER", "\x013"), ("TRACKNUMBER", "99999999999999999999")]
     assert column(spark, num, V.is_number) == [True] * 6 + [False] * 7
-    dates = ["2021", "2021-06", "2020-02-29", "2021-02-31", "2021-6-1", "2021-02-29", "0000", "", "2021-13"]
+    dates = ["1999", "1987-12", "2024-02-29", "2021-13", "0000", "2023-02-29", "2021-7-4", "1900-04-31", ""]
     assert column(spark, dates, V.is_partial_date) == [True] * 3 + [False] * 6
     g = "REPLAYGAIN_TRACK_GAIN"
     gains = [(g, "-6.5 dB"), (g, "-6.5dB"), (g, "+2.34"), (g, ".5"), (g, "5."), (g, "1e3"), (g, "0x1p-2"), (g, "1_0.5"), (g, "."), (g, "1.2.3"), (g, "nan"), (g, ""), ("REPLAYGAIN_TRACK_PEAK", "-0.0"), ("REPLAYGAIN_TRACK_PEAK", "+0.5")]
