@@ -33,8 +33,8 @@ THRESHOLD = -0.4
 SMOOTHING = 5.0
 #: Scores are sums of whole millionths, so no order of addition changes a decision.
 SCALE = 1_000_000
-#: Trusted ids are broadcast up to this many (8 bytes each); beyond it their documents are found by a shuffled semi join.
-BROADCAST_IDS = 2_000_000
+#: Trusted ids are broadcast, as one sorted array of 8 bytes each, up to this many; beyond it their documents are found by a shuffled semi join.
+BROADCAST_IDS = 5_000_000
 
 
 def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +64,13 @@ def ngrams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return (np.concatenate([uni, bi, tri]) % np.uint64(buckets)).astype(np.int64), np.concatenate([t.doc, t.doc[at], t.doc[both]])
 
 
-def _counter(buckets: int):
+def _counter(buckets: int, flag):
+    """Counts of a batch's texts (column 0); flag: from column 1 to whether each row is trusted."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            texts, flags = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), bool)
+            texts, flags = b.column(0).to_pylist(), flag(b.column(1))
             for lo, hi in chunks(texts):
                 at, doc = ngrams(texts[lo:hi], buckets)
                 raw += np.bincount(at, minlength=buckets)
@@ -80,7 +82,7 @@ def _counter(buckets: int):
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select("_trusted_id")
+    return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select(F.col("_trusted_id").cast("long"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
@@ -89,12 +91,20 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: f
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     schema = "bucket int, raw long, trusted long"
     if ids.count() <= broadcast_ids:
-        marked = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_trusted_id"), "left")
-        counted = marked.select("text", F.col("_trusted_id").isNotNull().alias("t")).mapInArrow(_counter(buckets), schema)
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["_trusted_id"].to_numpy()))
+
+        def trusted(column: pa.Array) -> np.ndarray:
+            own, wanted = known.value, column.fill_null(0).to_numpy(zero_copy_only=False)
+            if not len(own):
+                return np.zeros(len(wanted), bool)
+            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            return (own[at] == wanted) & column.is_valid().to_numpy(zero_copy_only=False)
+
+        counted = texts.select("text", F.col("doc_id").cast("long")).mapInArrow(_counter(buckets, trusted), schema)
     else:
-        whole = texts.select("text", F.lit(False).alias("t")).mapInArrow(_counter(buckets), schema)
+        whole = texts.select("text", F.lit(0)).mapInArrow(_counter(buckets, lambda c: np.zeros(len(c), bool)), schema)
         semi = texts.join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted_id"), "left_semi")
-        part = semi.select("text", F.lit(True).alias("t")).mapInArrow(_counter(buckets), schema).withColumn("raw", F.lit(0).cast("long"))
+        part = semi.select("text", F.lit(1)).mapInArrow(_counter(buckets, lambda c: np.ones(len(c), bool)), schema).withColumn("raw", F.lit(0).cast("long"))
         counted = whole.unionByName(part)
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toLocalIterator():
