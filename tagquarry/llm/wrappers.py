@@ -39,11 +39,9 @@ from .reputation import host_of
 #: The table of shapes is broadcast up to this many bytes of shapes; beyond it pages meet their wrappers by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
-_TOKEN = re.compile(
-    r"<!--.*?-->|<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+# Possessive, and stopped by the next `<`, so that broken markup costs no second pass over what follows.
+_TOKEN = re.compile(r"""<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|(!--)|[!?][^<>]*+>)""")
+_DROPPED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "noscript")}
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'>\s]+)""", re.I)
 SLOT = "#"
 
@@ -62,16 +60,30 @@ def stream(page: str) -> tuple[list[str], list[str]]:
                 tokens.append(SLOT)
                 texts.append(s)
 
-    for m in _TOKEN.finditer(page):
+    open_ended: set[str] = set()  # what has no end from here on
+    look = 0
+    while m := _TOKEN.search(page, look):
+        look, name, end = m.end(), m[2] and m[2].lower(), m.end()
+        if m[4]:
+            end = -1 if "!--" in open_ended else page.find("-->", look)
+            if end < 0:
+                open_ended.add("!--")
+                continue  # text
+            end += 3
+        elif name in _DROPPED and not m[1] and name not in open_ended:
+            if close := _DROPPED[name].search(page, look):
+                end, name = close.end(), None
+            else:
+                open_ended.add(name)
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
-        if name := m[3]:
-            if m[2]:
-                tokens.append(f"</{name.lower()}>")
+        at = look = end
+        if name:
+            if m[1]:
+                tokens.append(f"</{name}>")
             else:
-                c = _CLASS.search(m[4]) if m[4] else None
-                tokens.append(f"<{name.lower()}.{c[1]}>" if c else f"<{name.lower()}>")
+                c = _CLASS.search(m[3]) if m[3] else None
+                tokens.append(f"<{name}.{c[1]}>" if c else f"<{name}>")
     text(page[at:])
     return tokens, texts
 

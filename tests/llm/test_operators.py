@@ -328,3 +328,15 @@ def test_packing_covers_all_documents(docs):
             assert first == at
             at += n
         assert at == r.n
+
+
+def test_stream_of_broken_markup():
+    s = wrappers.stream
+    assert s("<p>a<!-- x > y -->b</p>") == (["<p>", "#", "</p>"], ["a b"])
+    assert s("x <!-- no end <b>y</b>") == (["#", "<b>", "#", "</b>"], ["x <!-- no end", "y"])
+    assert s("<script>var a='<p>'</SCRIPT >t<style>no end") == (["#", "<style>", "#"], ["t", "no end"])
+    assert s("a < b <i title='>' class=\"k\">c</i") == (["#", "<i.k>", "#"], ["a < b", "c</i"])
+    assert s("<!DOCTYPE html><?xml?><br/>&lt;") == (["<br>", "#"], ["<"])
+    for junk in ("<a " * 60_000, "<!-- " * 60_000, "<script>" * 30_000, "<!x " * 60_000):
+        tokens, texts = s(junk)
+        wrappers.fold(tokens)
