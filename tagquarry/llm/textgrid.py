@@ -85,7 +85,7 @@ def tokenise(texts: list[str | None]) -> Tokens:
     return Tokens(t["low"][raw], t["case"][raw], cls[start], start, end, doc, len(texts))
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Slices of at most about so many characters, whole texts only, so that memory doesn't follow the batch size."""
     at = size = 0
     for i, x in enumerate(texts):
