@@ -7,9 +7,11 @@ shallow depth; where many do, a document meets its nearest neighbours in the ord
 of each longer prefix that it is in, as deep as the region's density asks for. No document is left out and
 none has a limit of partners: whoever reaches a group's first document or a neighbour in it is in the group.
 
-Each candidate pair is verified at once on a sketch, four bits of each of the TREES * DEPTH min-hashes, that
-travels with the label; only verified pairs leave the task. Groups are the connected components of these pairs, after
-documents with the same sketch (exact copies among them) have been collapsed into one.
+Each candidate pair is tested at once on a sketch, four bits of each of the TREES * DEPTH min-hashes, that
+travels with the label; only pairs whose estimate comes within MARGIN of the threshold leave the task, and a pair
+saves others their test only where its estimate is as far above. The distinct pairs that are left meet
+the documents' sets of triples, and those whose exact similarity reaches the threshold link. Groups are the connected
+components of these links, after documents with the same min-hashes (exact copies among them) have been collapsed into one.
 
 Defined results:
 - a text of one or two words is one short shingle; a null text, or one without a word, is in no group;
@@ -35,6 +37,8 @@ from .textgrid import WORD, chunks, mix, tokenise
 TREES, DEPTH, SHINGLE = 16, 8, 3
 HASHES = TREES * DEPTH
 THRESHOLD = 0.5
+#: Of an estimate, about four standard deviations of it at the threshold.
+MARGIN = 0.2
 #: Elements of a label that candidates share at least; rows that share them meet in one task.
 ROOT = 2
 #: Rows of the order that each row is compared with; a region of up to so many and one more is compared whole.
@@ -101,12 +105,57 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).sum(1) / x.shape[1] - 1 / 16) / (1 - 1 / 16)
 
 
-def _verify(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, threshold: float) -> np.ndarray:
-    ok = np.zeros(len(i), bool)
+def _estimate(i: np.ndarray, j: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(i))
     for at in range(0, len(i), 20_000):
         s = slice(at, at + 20_000)
-        ok[s] = similarity(sketch[i[s]], sketch[j[s]]) >= threshold
-    return ok
+        out[s] = similarity(sketch[i[s]], sketch[j[s]])
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, set: the distinct shingles of each text that has a word, ascending, four bytes each."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        for lo, hi in chunks(texts):
+            s, doc = shingles(texts[lo:hi])
+            key = np.unique(doc.astype(np.uint64) << np.uint64(32) | s)
+            at = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(32))
+            low = key.astype("<u4").tobytes()
+            has = at[1:] > at[:-1]
+            sets = [low[4 * x : 4 * y] for x, y in zip(at[:-1][has], at[1:][has])]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(has)), pa.array(sets, pa.binary())], ["id", "set"])
+
+
+def shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Exact Jaccard similarity of each set of x and the set of y at its place."""
+    sizes = [np.array([len(v) // 4 for v in z], np.int64) for z in (x, y)]
+    rows = (np.repeat(np.arange(len(z), dtype=np.uint64), n) << np.uint64(32) | np.frombuffer(b"".join(z), "<u4") for z, n in zip((x, y), sizes))
+    key = np.sort(np.concatenate([*rows]), kind="stable")  # two ascending runs, merged
+    both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(x))
+    return both / np.maximum(sizes[0] + sizes[1] - both, 1)
+
+
+def _exact(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
+                ok = shared(c.column(2).to_pylist(), c.column(3).to_pylist()) >= threshold
+                yield pa.RecordBatch.from_arrays([c.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the pairs of which any texts have so much of their shingles in common."""
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    sets = docs.join(asked.hint("merge"), docs["doc_id"] == asked["_id"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
+    sets = cut(sets.repartition("id"))
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    return two.select("a", "b", "x", "y").mapInArrow(_exact(threshold), "a long, b long")
 
 
 def _neighbours(threshold: float, window: int):
@@ -142,16 +191,17 @@ def _neighbours(threshold: float, window: int):
                 h = np.maximum.accumulate(np.where(prev[old:] < d, new, k if n_heads else -1))
                 heads.append(int(h[-1]))
                 todo = np.flatnonzero((h != new) & (linked[old:] < 0) & ((h != last) if last is not None else True))
-                ok = _verify(new[todo], h[todo], sk, threshold)
-                linked[new[todo[ok]]] = h[todo[ok]]
-                found.append((new[todo[ok]], h[todo[ok]]))
+                e = _estimate(new[todo], h[todo], sk)
+                sure, ok = todo[e >= threshold + MARGIN], todo[e >= threshold - MARGIN]
+                linked[new[sure]] = h[sure]
+                found.append((new[ok], h[ok]))
                 last = h
             for k in range(1, window + 1):
                 i = new[new - k >= n_heads]
                 j = i - k
                 near = (lcp(i, j) >= ROOT) & ~((linked[i] >= 0) & ((linked[i] == linked[j]) | (linked[i] == j)))
                 i, j = i[near], j[near]
-                ok = _verify(i, j, sk, threshold)
+                ok = _estimate(i, j, sk) >= threshold - MARGIN
                 found.append((i[ok], j[ok]))
             i, j = (np.concatenate([f[x] for f in found]) for x in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
@@ -171,7 +221,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, window:
     pairs = ordered.mapInArrow(_neighbours(threshold, window), "a long, b long")
     # Copies of one sketch, and rows of one doc_id with several texts, hang on their representative.
     copies = signed.select("doc_id", "sig").join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(pairs.unionByName(copies))
+    roots = components(verified(pairs, docs, threshold).unionByName(copies))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     whole = ids.join(roots, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
     sizes = whole.groupBy("group_id").agg(F.count("*").alias("group_size"))
