@@ -9,7 +9,9 @@ keyboard walks and brute-force spans, found by dynamic programming over position
 Defined results:
 - a null or empty text, or one without such a context, has no value; `redact_secrets` leaves it alone;
 - very long texts and values are read whole; the cost is linear in a value's length;
-- a value ends at white space, a quote, `<`, `>`, or at `&` or `;`; of overlapping contexts the first counts;
+- a value in quotes ends at the quote that closes it on the same line (`\\"` doesn't); any other, or one whose quote isn't
+  closed there, at white space, a quote, `<`, `>`, or at `&` or `;`; of overlapping contexts the first counts;
+- blanks and tabs around `=` and `:` are as many as there are;
 - an empty value (`password=`) is none; repeated values and rows are each found;
 - `redact_secrets` puts `MARK` for each secret and sets n_chars, where there is such a column, to the new length;
 - null ids are carried; an empty table gives an empty result; further columns pass through untouched.
@@ -34,7 +36,10 @@ JOINT = math.log10(2)
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|auth|secret|client)[_-]?key|credentials?|auth(?:orization)?)"
 _PREFIXED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35}"
-CONTEXT = re.compile(rf"""(?:(?i:{_NAME})["']?[ \t]{{0,4}}(?::=|=>|=|:)[ \t]{{0,4}}(?:(?i:bearer|basic)[ \t]+)?["'`]?(?!["'`])|(?i:\bbearer)[ \t]+)([^\s"'`<>&;]+)|({_PREFIXED})""")
+_SCHEME = r"(?:(?i:bearer|basic)[ \t]+)?"
+_BARE = r"""[^\s"'`<>&;]+"""
+#: Groups: the opening quote, what it quotes, a value without quotes, one after `Bearer`, one that names its kind.
+CONTEXT = re.compile(rf"""(?i:{_NAME})["']?[ \t]*+(?::=|=>|=|:)[ \t]*+{_SCHEME}(?:(["'`]){_SCHEME}((?:\\[^\r\n]|(?!\1)[^\\\r\n])++)\1|["'`]?(?!["'`])({_BARE}))|(?i:\bbearer)[ \t]+({_BARE})|({_PREFIXED})""")
 #: A cheap test in RE2: every text in which CONTEXT finds something passes it.
 HINT = rf"""(?i:{_NAME})["']?[ \t]*[:=]|(?i:bearer)[ \t]|{_PREFIXED.replace("{10,}", "").replace("{20,}", "").replace("{35}", "").replace("{16}", "")}"""
 
@@ -155,8 +160,8 @@ def scan(text: str) -> list[tuple[int, int, float]]:
     """start, end, cost of each value in a credential context."""
     out = []
     for m in CONTEXT.finditer(text):
-        k = 1 if m[1] is not None else 2
-        value = m[k].rstrip(".,:!?)]}") if k == 1 else m[k]
+        k = m.lastindex if m[2] is None else 2
+        value = m[k].rstrip(".,:!?)]}") if k in (3, 4) else m[k]
         if value:
             out.append((m.start(k), m.start(k) + len(value), guess_cost(value)))
     return out

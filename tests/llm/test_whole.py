@@ -2,7 +2,9 @@
 
 import random
 
-from tagquarry.llm import neardup
+import pyarrow as pa
+
+from tagquarry.llm import neardup, secrets
 
 
 def _family(first, n, common, own):
@@ -25,3 +27,18 @@ def test_exact_similarity_of_sets():
 
     b = lambda *x: np.array(x, "<u4").tobytes()
     assert neardup.shared([b(1, 2, 3), b(5), b(1, 2)], [b(2, 3, 4), b(5), b(3, 2**32 - 1)]).tolist() == [0.5, 1.0, 0.0]
+
+
+def test_quoted_secrets_and_runs_of_blanks():
+    scan = lambda t: [(t[a:b], c >= secrets.THRESHOLD) for a, b, c in secrets.scan(t)]
+    for value in ("correct horse battery staple", "aB3;x9Kq7LmZ&pT2", "tr0ub&4dor&3xKq9Lm2Z", "Zk8<1>pQx9!rT.,", r"a1\"b2 Xq9\"z"):
+        text = f'{{"passphrase": "{value}", "n": "x"}}'
+        assert scan(text) == [(value, True)] and secrets._hit(pa.array([text])).tolist() == [0]
+    for text in ("password          =          Zk8$1pQx9!rT", "secret_key:\t\t\t\t\t\tZk8$1pQx9!rT", "Authorization: \"Bearer Zk8$1pQx9!rT\""):
+        assert scan(text) == [("Zk8$1pQx9!rT", True)] and secrets._hit(pa.array([text])).tolist() == [0]
+    assert scan("password='Zk8$1pQx9!rT and no end\nit's") == [("Zk8$1pQx9!rT", True)]
+
+
+def test_redaction_leaves_nothing_of_a_quoted_secret(spark):
+    d = spark.createDataFrame([(1, 'a password="aB3;x9Kq7LmZ&pT2 tail" b')], "doc_id long, text string")
+    assert secrets.redact_secrets(d).first()["text"] == 'a password="[SECRET]" b'
