@@ -7,8 +7,10 @@ that agree stay; where they don't, the tokens of either side become an optional
 is repeated on one side and single on the other becomes a repeated group. There are no alternatives, so the
 expression is free of unions, and each shape that it was aligned with matches it.
 
-A slot that holds the same text on all pages of the host is template text; all others are fields. Shapes,
-not pages, travel: each task counts its own first, and only one row a host and shape is shuffled.
+A slot that holds the same text on all its pages is template text if these are ENOUGH distinct pages, or all
+distinct pages of the host where it has fewer, and 2 at least; all others are fields. Pages of one shape with the same
+texts are one page, however often they are published. Shapes, not pages, travel: each task counts its own first, and
+only one row a host and shape is shuffled, with the ENOUGH least hashes of its pages' texts.
 
 Defined results:
 - a null html gives null text and no field; an empty one an empty text; very long pages are read whole;
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .graph import cut
 from .reputation import host_of
 
+#: Distinct pages on which a slot's only text is taken for template text.
+ENOUGH = 5
 #: The table of shapes is broadcast up to this many bytes of shapes; beyond it pages meet their wrappers by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -250,15 +254,21 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
+def _merged(x: list, y: list) -> list:
+    """Pages, least and greatest text hashes, and least hashes of distinct pages, of one shape in two places."""
+    distinct = x[3] if len(y[3]) == 1 and y[3][0] in x[3] else sorted({*x[3], *y[3]})[:ENOUGH]
+    return [x[0] + y[0], [*map(min, x[1], y[1])], [*map(max, x[2], y[2])], distinct]
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shape, pages, least and greatest text hash of each slot; counted within the task."""
+    """host, shape, pages, least and greatest text hash of each slot, least hashes of distinct pages; counted within the task."""
     seen: dict = {}
     size = 0
 
     def out() -> pa.RecordBatch:
         hosts, shapes = zip(*seen) if seen else ((), ())
         rows = list(seen.values())
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))], ["host", "shape", "pages", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2, 3))], ["host", "shape", "pages", "lo", "hi", "distinct"])
 
     for b in batches:
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -272,12 +282,13 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lo[i] = t
                 if hi[i] is None or t > hi[i]:
                     hi[i] = t
+            own = [_hash("\n".join(texts))]  # a text has no line break
             old = seen.get(key)
             if old is None:
-                seen[key] = [1, lo, hi]
+                seen[key] = [1, lo, hi, own]
                 size += len(key[1]) + 32 * k
             else:
-                seen[key] = [old[0] + 1, [*map(min, old[1], lo)], [*map(max, old[2], hi)]]
+                seen[key] = _merged(old, [1, lo, hi, own])
         if size > 1 << 25:
             yield out()
             seen, size = {}, 0
@@ -287,9 +298,9 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer(p: pd.DataFrame) -> pd.DataFrame:
     """The wrapper of one host from its shapes: for each, the flags of the slots that are fields."""
     merged: dict = {}
-    for shape, pages, lo, hi in zip(p["shape"], p["pages"], p["lo"], p["hi"]):
-        old = merged.get(shape)
-        merged[shape] = [pages, list(lo), list(hi)] if old is None else [old[0] + pages, [*map(min, old[1], lo)], [*map(max, old[2], hi)]]
+    for shape, *row in zip(p["shape"], p["pages"], p["lo"], p["hi"], p["distinct"]):
+        new = [row[0], *map(list, row[1:])]
+        merged[shape] = _merged(merged[shape], new) if shape in merged else new
     order = sorted(merged, key=lambda s: (-merged[s][0], s))
     wrapper = Wrapper(parse(order[0]))
     of = {order[0]: [*range(wrapper.n)]}
@@ -300,9 +311,10 @@ def infer(p: pd.DataFrame) -> pd.DataFrame:
         for i, x, y in zip(slots, merged[s][1], merged[s][2]):
             lo[i] = x if lo[i] is None else min(lo[i], x)
             hi[i] = y if hi[i] is None else max(hi[i], y)
-            pages[i] += merged[s][0]
-    fixed = [a == b and n > 1 for a, b, n in zip(lo, hi, pages)]
-    if all(fixed):  # copies of one page
+            pages[i] += len(merged[s][3])
+    enough = max(2, min(ENOUGH, sum(len(m[3]) for m in merged.values())))
+    fixed = [a == b and n >= enough for a, b, n in zip(lo, hi, pages)]
+    if all(fixed):  # one text throughout, in several shapes
         fixed = [False] * len(fixed)
     said = wrapper.render()
     flags = ["".join("01"[not fixed[i]] for i in of[s]) for s in order]
@@ -312,7 +324,7 @@ def infer(p: pd.DataFrame) -> pd.DataFrame:
 def learn_wrappers(pages: DataFrame) -> DataFrame:
     """_host, _shape (its hash), _fields, _wrapper (its hash), _expression: one row for each host and shape."""
     source = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), "html")
-    shapes = source.mapInArrow(_shapes, "host string, shape string, pages long, lo array<long>, hi array<long>")
+    shapes = source.mapInArrow(_shapes, "host string, shape string, pages long, lo array<long>, hi array<long>, distinct array<long>")
     return shapes.groupBy("host").applyInPandas(infer, "_host string, _shape long, _fields string, _wrapper long, _expression string")
 
 

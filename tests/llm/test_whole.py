@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from tagquarry.llm import neardup, secrets
+from tagquarry.llm import neardup, secrets, wrappers
 
 
 def _family(first, n, common, own):
@@ -42,3 +42,11 @@ def test_quoted_secrets_and_runs_of_blanks():
 def test_redaction_leaves_nothing_of_a_quoted_secret(spark):
     d = spark.createDataFrame([(1, 'a password="aB3;x9Kq7LmZ&pT2 tail" b')], "doc_id long, text string")
     assert secrets.redact_secrets(d).first()["text"] == 'a password="[SECRET]" b'
+
+
+def test_an_article_at_two_addresses_is_no_template(spark):
+    rows = [(i, f"http://h/{i}", f"<html><h1>title {i}</h1><p>text {i}</p><footer>Shop</footer></html>") for i in range(40)]
+    article = "<html><h1>A title</h1><p>text</p><table><tr><td>Its own</td></tr></table><b>words</b><footer>Shop</footer></html>"
+    rows += [(100, "http://h/a", article), (101, "http://h/b", article)]
+    out = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[100] == out[101] == "A title\ntext\nIts own\nwords" and out[0] == "title 0\ntext 0"
