@@ -215,13 +215,33 @@ def best(x: np.ndarray, mine: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int
     return np.concatenate(rows), np.concatenate(found), np.concatenate(score)
 
 
+def best_ids(x: np.ndarray, mine: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best, but of the k best ids of each x, each at its best row of y: who finds repeated ids is asked for more."""
+    if not (ids[1:] == ids[:-1]).any():
+        return best(x, mine, y, ids, k)
+    todo, wide, parts = np.arange(len(x)), k, []
+    while len(todo):
+        r, at, s = best(x[todo], mine[todo], y, ids, wide)
+        order = np.lexsort((ids[at], -s, r))
+        r, at, s = r[order], at[order], s[order]
+        full = np.bincount(r, minlength=len(todo)) >= wide
+        first = np.sort(np.unique(np.stack([r, ids[at]]), axis=1, return_index=True)[1])
+        r, at, s = r[first], at[first], s[first]
+        n = np.bincount(r, minlength=len(todo))
+        more = full & (n < k)
+        keep = ~more[r] & (np.arange(len(r)) - (np.cumsum(n) - n)[r] < k)
+        parts.append((todo[r[keep]], at[keep], s[keep]))
+        todo, wide = todo[more], 2 * wide
+    return tuple(np.concatenate([p[j] for p in parts]) for j in range(3))
+
+
 def _rank(k: int):
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "found": [], "cosine": []})
         c = c.sort_values("vec_id", kind="stable", ignore_index=True)
         ids, mine = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        r, at, s = best(np.stack(q["x"].to_numpy()), mine, np.stack(c["x"].to_numpy()), ids, k)
+        r, at, s = best_ids(np.stack(q["x"].to_numpy()), mine, np.stack(c["x"].to_numpy()), ids, k)
         order = np.argsort(r, kind="stable")
         r, at, s = r[order], ids[at[order]], s[order]
         cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from tagquarry.llm import neardup, secrets, wrappers
+from tagquarry.llm import ann, neardup, secrets, wrappers
 
 
 def _family(first, n, common, own):
@@ -23,8 +24,6 @@ def test_a_family_below_the_threshold_is_no_group(spark):
 
 
 def test_exact_similarity_of_sets():
-    import numpy as np
-
     b = lambda *x: np.array(x, "<u4").tobytes()
     assert neardup.shared([b(1, 2, 3), b(5), b(1, 2)], [b(2, 3, 4), b(5), b(3, 2**32 - 1)]).tolist() == [0.5, 1.0, 0.0]
 
@@ -50,3 +49,24 @@ def test_an_article_at_two_addresses_is_no_template(spark):
     rows += [(100, "http://h/a", article), (101, "http://h/b", article)]
     out = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[100] == out[101] == "A title\ntext\nIts own\nwords" and out[0] == "title 0\ntext 0"
+
+
+def test_an_id_with_many_vectors_takes_one_place():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[:60] = x[100] + rng.normal(size=(60, 8)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.sort(np.r_[np.full(60, 0), np.arange(1, 241)])
+    r, at, s = ann.best_ids(x[100:110], ids[100:110], x, ids, 10)
+    cosine = np.rint(x[100:110] @ x.T * np.float32(1e5)).astype(int)
+    for i in range(10):
+        top = {}
+        for j in np.flatnonzero(ids != ids[100 + i]):
+            top[int(ids[j])] = max(top.get(int(ids[j]), -300_000), int(cosine[i, j]))
+        want = sorted(top, key=lambda n: (-top[n], n))[:10]
+        assert ids[at[r == i]].tolist() == want and np.rint(s[r == i] * 1e5).astype(int).tolist() == [top[n] for n in want]
+    import pandas as pd
+
+    c = pd.DataFrame({"vec_id": ids, "x": list(x)})
+    out = ann._rank(10)((0, 0, 0), c[100:110], c)
+    assert all(len(set(f)) == 10 for f in out["found"])
