@@ -18,7 +18,7 @@ Defined results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,22 +85,27 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_trusted_id")).agg(F.min("quality").alias("q")).where("q = 1").select(F.col("_trusted_id").cast("long"))
 
 
+def among(spark: SparkSession, ids: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Whether each id of a column is one of `ids`, which go out as one sorted array; for a checked number of them."""
+    known = spark.sparkContext.broadcast(np.sort(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).toArrow()["_id"].to_numpy()))
+
+    def test(column: pa.Array) -> np.ndarray:
+        own, wanted = known.value, column.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(own):
+            return np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+        return (own[at] == wanted) & column.is_valid().to_numpy(zero_copy_only=False)
+
+    return test
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
     """Log ratio of each bucket in millionths. What comes to the driver is one row a bucket, whatever the input."""
     ids = trusted_ids(labels)
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     schema = "bucket int, raw long, trusted long"
     if ids.count() <= broadcast_ids:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["_trusted_id"].to_numpy()))
-
-        def trusted(column: pa.Array) -> np.ndarray:
-            own, wanted = known.value, column.fill_null(0).to_numpy(zero_copy_only=False)
-            if not len(own):
-                return np.zeros(len(wanted), bool)
-            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-            return (own[at] == wanted) & column.is_valid().to_numpy(zero_copy_only=False)
-
-        counted = texts.select("text", F.col("doc_id").cast("long")).mapInArrow(_counter(buckets, trusted), schema)
+        counted = texts.select("text", F.col("doc_id").cast("long")).mapInArrow(_counter(buckets, among(docs.sparkSession, ids)), schema)
     else:
         whole = texts.select("text", F.lit(0)).mapInArrow(_counter(buckets, lambda c: np.zeros(len(c), bool)), schema)
         semi = texts.join(ids.hint("merge"), F.col("doc_id") == F.col("_trusted_id"), "left_semi")

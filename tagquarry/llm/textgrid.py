@@ -6,6 +6,7 @@ Python loop touches a character or a token.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +25,8 @@ def tables() -> dict[str, np.ndarray]:
     if not _TABLES:
         n = sys.maxunicode + 1
         cls, low, case = np.zeros(n, np.uint8), np.arange(n, dtype=np.uint32), np.zeros(n, np.uint8)
-        for i in range(0x30000):
+        # Planes 4 to 13 have no characters, 15 and 16 private ones: none is a letter or a sign.
+        for i in itertools.chain(range(0x40000), range(0xE0000, 0xE1000)):
             c = chr(i)
             k = unicodedata.category(c)
             cls[i] = WORD if k[0] in "LNM" else PUNCT if k[0] in "PS" else SPACE
