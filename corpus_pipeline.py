@@ -7,13 +7,10 @@ of documents. Rows with null, empty or repeated values go through as the operato
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tagquarry.llm import neardup, packing, quality, secrets, toxicity
-from tagquarry.llm.graph import shared_dir
+from tagquarry.llm.graph import remove, scratch
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +46,19 @@ STAGES = [("quality rules", quality_rules), ("toxicity", drop_toxic), ("near dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; what each but the last returns is written to the shared folder and read from there."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{os.path.abspath(folder)}"
+    """Applies STAGES to documents; what each but the last returns is written to the shared folder and read from there.
+
+    A stage's table goes once the next one's is written; the last table stays, as the result may read it.
+    """
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
 
 

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from urllib.parse import urlparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; one of our own only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's folder for checkpoints, as it is named; one of our own only where none is and all runs on this machine, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        named = current or tempfile.mkdtemp(prefix="tagquarry-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named if urlparse(named).scheme else f"file://{os.path.abspath(named)}")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = f"file://{tempfile.mkdtemp(prefix='tagquarry-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there, so that a lost executor doesn't bring its work back."""
     shared_dir(df.sparkSession)
