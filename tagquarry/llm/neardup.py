@@ -16,7 +16,8 @@ components of these links, after documents with the same min-hashes (exact copie
 Defined results:
 - a text of one or two words is one short shingle; a null text, or one without a word, is in no group;
 - very long texts are read whole;
-- repeated rows: rows of one doc_id are one document (a group, if their texts differ); `drop_near_duplicates` keeps one row of it;
+- repeated rows: rows of one doc_id are one document (a group, if their texts differ); `drop_near_duplicates` keeps one row
+  of it, by a hash of all its columns, so that their order doesn't matter;
 - a null doc_id can't be named: such rows are returned with a null group, and stay;
 - ties: the least doc_id of a group stays; an empty table gives an empty result;
 - further columns pass through `drop_near_duplicates` untouched.
@@ -44,7 +45,7 @@ ROOT = 2
 #: Rows of the order that each row is compared with; a region of up to so many and one more is compared whole.
 NEIGHBOURS = 4
 #: Ids to drop are broadcast up to this many (8 bytes each); beyond it they are found by a shuffled anti join.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +238,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, broadcas
     if again.isEmpty():
         return left
     hint = F.broadcast(again) if again.count() <= broadcast_ids else again.hint("merge")
-    once = left.join(hint, left["doc_id"] == hint["_again"], "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row")
+    once = left.join(hint, left["doc_id"] == hint["_again"], "left_semi").groupBy("doc_id").agg(least).select("_row.*")
     return left.join(hint, left["doc_id"] == hint["_again"], "left_anti").unionByName(once)
 
 
