@@ -5,14 +5,19 @@ minimises  p R_P(+) + max(0, R_U(-) - p R_P(-)).  Where the second part falls be
 the other way, which is what keeps the model from fitting the positives by heart.
 
 A text's features are its distinct words and the first four, five and six letters of its longer words,
-hashed. Those enter the model that are more frequent in P than in U beyond chance, and by so much that they
-can have a posterior of one half; the model weighs them. It is fitted on a bounded sample of rows (`MAX_POSITIVE`, `MAX_UNLABELLED`,
-taken in the order of a hash of doc_id), and applied to every document.
+hashed. One rule says which of them the model weighs, at every size: those that have a posterior of one half at
+least (by the share of all confirmed and of all documents that hold them), and whose number among the unlike
+confirmed texts exceeds what all documents let expect, at the level that chance gives to `BY_CHANCE` of the features tested, and to `SHARE` of them at most. Near copies
+of a text are one piece of evidence.
+
+Nothing is sampled. U is all documents and P all confirmed ones: both enter the risk as counts of the distinct sets of
+weighed features, of which most documents have none. These counts are fitted on the driver where they are few
+(`LOCAL_FEATURES`), else each step is a job over them; both are the same sums.
 
 Defined results:
 - a null or empty text has no features: its score is the model's intercept, it isn't toxic;
 - a very long text is read whole; its features count once each, so length by itself adds nothing;
-- repeated rows: each is scored for itself; a repeated doc_id in the sample brings all its rows;
+- a score of exactly 0 isn't toxic; repeated rows: each counts and is scored for itself;
 - labels: a doc_id is confirmed if toxic is 1 in all its non-null rows; null ids match nothing;
 - no confirmed example, or no feature that tells them apart: nothing is toxic, every score is -1;
 - an empty table gives an empty result; further columns pass through `filter_toxic` untouched.
@@ -20,7 +25,8 @@ Defined results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import cut
+from .quality import BROADCAST_IDS, among
 from .textgrid import WORD, chunks, mix, tokenise
 
 BUCKETS = 1 << 20
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 9000, 1024
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY = 300, 0.05, 1e-3
-#: A feature's least log-likelihood ratio, doubled; chance gives that to about one of 2**20 features. Halved, twice at most, where none reaches it.
-SIGNIFICANT = 24.0
+STEPS, RATE, DECAY = 300, 0.05, 1e-7
+#: Features among all that confirmed texts have which chance alone may let in, and the share of them at most.
+BY_CHANCE, SHARE = 1.0, 1e-3
+#: Features in all distinct sets, up to which the driver takes the sets (4 bytes each).
+LOCAL_FEATURES = 4_000_000
 
 
 @dataclass
@@ -59,116 +68,246 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(docs)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for lo, hi in chunks(texts):
-            at, doc = features(texts[lo:hi])
-            key = np.unique(doc * BUCKETS + at)
-            cut = np.searchsorted(key, np.arange(hi - lo + 1) * BUCKETS)
-            bag = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key % BUCKETS, pa.int32()))
-            yield pa.RecordBatch.from_arrays([bag, *(c.slice(lo, hi - lo) for c in b.columns[1:])], ["bag", "p", "u"])
-
-
 def confirmed_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("t")).where("t = 1").select("doc_id")
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> pa.Table:
-    """bag, p, u: the features of the sampled rows, and whether each is a confirmed or an unlabelled one (or both)."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    pick = lambda df, n, seed: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-    p = pick(ids.join(confirmed_ids(labels), "doc_id", "left_semi"), max_positive, 1).withColumn("p", F.lit(True))
-    u = pick(ids, max_unlabelled, 2).withColumn("u", F.lit(True))
-    both = p.join(u, "doc_id", "full").select(F.col("doc_id").alias("_id"), F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
-    # At most max_positive + max_unlabelled rows, whatever the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(both), F.col("doc_id") == F.col("_id")).select("text", "p", "u")
-    return rows.mapInArrow(_bags, "bag array<int>, p boolean, u boolean").toArrow()
-
-
-def _unlike(bags: list[np.ndarray]) -> np.ndarray:
-    """True for the first of each set of bags that are nearly the same, so that copies aren't counted as evidence."""
-    seen: set = set()
-    out = np.zeros(len(bags), bool)
-    for i, b in enumerate(bags):
-        if len(b):
-            mins = [int(((b.astype(np.int64) * m + m) % 1048573).min()) for m in (7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301)]
-            keys = [(k, *mins[3 * k : 3 * k + 3]) for k in range(3)]
-            out[i] = not any(k in seen for k in keys)
-            seen.update(keys)
-    return out
+def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of all texts, and where each text's begin, and the last one's end."""
+    at, doc = features(texts)
+    key = np.sort(doc * BUCKETS + at)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    return key % BUCKETS, np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
 
 
-def _select(bags: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float, most: int) -> np.ndarray:
-    once = np.zeros(len(bags), bool)
-    for rows in (np.flatnonzero(p), np.flatnonzero(u & ~p)):
-        once[rows[_unlike([bags[i] for i in rows])]] = True
-    kp, ku = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for i in np.flatnonzero(once):
-        # A bag has each feature once.
-        kp[bags[i]] += p[i]
-        ku[bags[i]] += u[i]
-    n_p, n_u = max(1, (p & once).sum()), max(1, (u & once).sum())
-    share_p, share_u, pooled = kp / n_p, ku / n_u, (kp + ku) / (n_p + n_u)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # Twice the log-likelihood ratio of two Poisson rates against one.
-        g = 2 * (np.where(kp, kp * np.log(share_p / pooled), 0) + np.where(ku, ku * np.log(share_u / pooled), 0))
+Flag = Callable[[pa.Array], np.ndarray]
+
+
+def _marked(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> tuple[DataFrame, Flag]:
+    """text and a column that the function turns into whether a document is confirmed."""
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("_id"))
+    if ids.count() <= broadcast_ids:
+        return texts, among(docs.sparkSession, ids)
+    known = ids.select(F.col(ids.columns[0]).alias("_known")).hint("merge")
+    return texts.join(known, F.col("_id") == F.col("_known"), "left").select("text", F.col("_known").isNotNull().alias("_p")), lambda c: c.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _counter(flag: Flag):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One place more for the number of documents.
+        u, p = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for b in batches:
+            texts, sure = b.column(0).to_pylist(), flag(b.column(1))
+            u[-1] += len(texts)
+            p[-1] += sure.sum()
+            for lo, hi in chunks(texts):
+                at, cut_at = bags(texts[lo:hi])
+                u[:-1] += np.bincount(at, minlength=BUCKETS)
+                if sure[lo:hi].any():
+                    p[:-1] += np.bincount(at[np.repeat(sure[lo:hi], np.diff(cut_at))], minlength=BUCKETS)
+        seen = np.flatnonzero(u)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(u[seen]), pa.array(p[seen])], ["bucket", "u", "p"])
+
+    return run
+
+
+def _evidence(flag: Flag, wanted: np.ndarray):
+    """Of each confirmed text: three keys, one at least of which it shares with most of its near copies, and its wanted features."""
+    _A = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(BUCKETS, bool)
+        use[wanted] = True
+        for b in batches:
+            texts = b.column(0).filter(pa.array(flag(b.column(1)))).to_pylist()
+            for lo, hi in chunks(texts):
+                at, cut_at = bags(texts[lo:hi])
+                has = np.flatnonzero(np.diff(cut_at))
+                if not len(has):
+                    continue
+                h = mix(at.astype(np.uint64))
+                mins = [np.minimum.reduceat(mix(h * a), cut_at[has]) for a in _A]
+                keys = [mix(mins[3 * k] + mix(mins[3 * k + 1] + mix(mins[3 * k + 2]))).astype(np.int64) for k in range(3)]
+                sets = [x[use[x]].astype("<i4").tobytes() for x in (at[cut_at[i] : cut_at[i + 1]] for i in has)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(sets, pa.binary())], ["k0", "k1", "k2", "set"])
+
+    return run
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(BUCKETS + 1, np.int64)
+    for b in batches:
+        n[-1] += b.num_rows
+        n[:-1] += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=BUCKETS)
+    seen = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], ["bucket", "n"])
+
+
+def select(marked: DataFrame, flag: Flag, prior: float) -> np.ndarray:
+    """The features that the model weighs, ascending."""
+    counted = marked.mapInArrow(_counter(flag), "bucket int, u long, p long").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+    # A row a bucket at most, whatever the input.
+    t = counted.where("p > 0").toArrow()
+    at, ku, kp = (t[c].to_numpy() for c in ("bucket", "u", "p"))
+    all_ = at == BUCKETS
+    if not all_.any():
+        return np.zeros(0, np.int64)
+    n_u, n_p = int(ku[all_][0]), int(kp[all_][0])
     # As U holds its share of positives, a feature of toxic texts only has prior * share_p = share_u.
-    fits = (share_p > share_u) & (prior * share_p * 2 >= share_u)
-    for least in (SIGNIFICANT, SIGNIFICANT / 2, SIGNIFICANT / 4):
-        chosen = np.flatnonzero(fits & (g >= least))
-        if len(chosen):
-            break
-    return np.sort(chosen[np.argsort(-g[chosen], kind="stable")[:most]])
+    fits = ~all_ & (2 * prior * (kp / n_p) >= ku / n_u)
+    order = np.argsort(at[fits])
+    at, ku = at[fits][order], ku[fits][order]
+    unlike = marked.mapInArrow(_evidence(flag, at), "k0 long, k1 long, k2 long, set binary")
+    for k in ("k0", "k1", "k2"):
+        unlike = unlike.groupBy(k).agg(F.min(F.struct("k0", "k1", "k2", "set")).alias("_row")).select("_row.*")
+    t = unlike.select("set").mapInArrow(_unpack, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(BUCKETS + 1, np.int64)
+    found[t["bucket"].to_numpy()] = t["n"].to_numpy()
+    seen, expected = found[at], found[BUCKETS] * (ku / n_u)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Twice the log-likelihood ratio of a Poisson rate of its own against that of all documents.
+        g = 2 * (np.where(seen, seen * np.log(seen / expected), 0) - seen + expected)
+    return at[(seen > expected) & (g >= least_ratio(len(kp) - 1))].astype(np.int64)
 
 
-def train(table: pa.Table, prior: float, most: int = MAX_FEATURES, steps: int = STEPS) -> Model:
-    none = Model(np.zeros(BUCKETS, np.float32), -1.0, prior)
-    bags = [np.asarray(b.values if b is not None else [], np.int32) for b in table["bag"].combine_chunks()] if table.num_rows else []
-    p, u = np.array(table["p"].to_pylist(), bool), np.array(table["u"].to_pylist(), bool)
-    if not p.any() or not 0 < prior < 1 or not sum(map(len, bags)):
-        return none
-    # The rows come in any order; sorted, they give the same model each time.
-    order = sorted(range(len(bags)), key=lambda i: (bags[i].tobytes(), p[i], u[i]))
-    bags, p, u = [bags[i] for i in order], p[order], u[order]
-    chosen = _select(bags, p, u, prior, most)
-    if not len(chosen):
-        return none
-    x = np.zeros((len(bags), len(chosen)), np.float32)
-    for i, b in enumerate(bags):
-        at = np.searchsorted(chosen, b)
-        at[at == len(chosen)] = 0
-        x[i, at[chosen[at] == b]] = 1
-    xp, xu = x[p], x[u]
-    del x
-    w, bias = np.zeros(len(chosen)), -1.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    soft = lambda z: np.logaddexp(0, z)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def least_ratio(tested: int) -> float:
+    """The doubled log-likelihood ratio that chance gives to as many as may get in: a quantile of chi squared with one degree of freedom."""
+    lo, hi, level = 0.0, 100.0, min(SHARE, BY_CHANCE / max(tested, 1))
+    while hi - lo > 1e-6:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if math.erfc(math.sqrt(mid / 2)) > level else (lo, mid)
+    return hi
+
+
+def _sets(flag: Flag, chosen: np.ndarray):
+    """Distinct sets of chosen features (their places, 4 bytes each), with the documents and confirmed documents that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        seen: dict[bytes, list[int]] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["set", "u", "p"])
+        for b in batches:
+            texts, sure = b.column(0).to_pylist(), flag(b.column(1))
+            for lo, hi in chunks(texts):
+                at, doc = features(texts[lo:hi])
+                at = place[at]
+                hit = at >= 0
+                key = np.unique(doc[hit] * BUCKETS + at[hit])
+                low = (key % BUCKETS).astype("<i4").tobytes()
+                cut_at = np.searchsorted(key, np.arange(hi - lo + 1) * BUCKETS)
+                for i, p in enumerate(sure[lo:hi].tolist()):
+                    v = seen.setdefault(low[4 * cut_at[i] : 4 * cut_at[i + 1]], [0, 0])
+                    v[0] += 1
+                    v[1] += p
+            if len(seen) > 100_000:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    return run
+
+
+@dataclass
+class Sums:
+    """Of rows of sets: what a step of the fit needs, not yet divided by the numbers of documents."""
+
+    loss_u: float
+    loss_p: float
+    up: np.ndarray  # a place for each feature and one for the intercept
+    pp: np.ndarray
+
+
+class Part:
+    """Some of the sets, as one list of places."""
+
+    def __init__(self, sets: list[bytes], u: np.ndarray, p: np.ndarray, width: int):
+        size = np.array([len(x) // 4 for x in sets], np.int64)
+        self.at, self.row = np.frombuffer(b"".join(sets), "<i4"), np.repeat(np.arange(len(sets)), size)
+        self.u, self.p, self.width = u.astype(float), p.astype(float), width
+
+    def total(self, by_row: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, weights=by_row[self.row], minlength=self.width), by_row.sum())
+
+    def sums(self, w: np.ndarray) -> Sums:
+        z = np.bincount(self.row, weights=w[self.at], minlength=len(self.u)) + w[-1]
+        soft, sig = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return Sums(float(self.u @ soft), float(self.p @ soft), self.total(self.u * sig), self.total(self.p * sig))
+
+
+def _job(table: DataFrame, width: int) -> Callable[[np.ndarray], Sums]:
+    """The same sums by a job over the table of sets."""
+
+    def sums(w: np.ndarray) -> Sums:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, width + 2))
+            for b in batches:
+                s = Part(b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy(), width).sums(w)
+                total += np.array([np.append(s.up, s.loss_u), np.append(s.pp, s.loss_p)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 2)), pa.array(total[0]), pa.array(total[1])], ["at", "u", "p"])
+
+        t = table.mapInArrow(run, "at long, u double, p double").groupBy("at").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).orderBy("at").toArrow()
+        u, p = t["u"].to_numpy(), t["p"].to_numpy()
+        return Sums(u[-1], p[-1], u[:-1], p[:-1])
+
+    return sums
+
+
+def descend(sums: Callable[[np.ndarray], Sums], mean_p: np.ndarray, n_u: int, n_p: int, prior: float, steps: int = STEPS) -> np.ndarray:
+    """Weights, the intercept last. loss(+) of a score z is log(1 + exp(-z)), loss(-) is log(1 + exp(z))."""
+    w = np.append(np.zeros(len(mean_p) - 1), -1.0)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, steps + 1):
-        single = w.astype(np.float32)  # or numpy would copy the matrices as doubles
-        zp, zu = (xp @ single).astype(float) + bias, (xu @ single).astype(float) + bias
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        # Gradients by score: loss(+) = soft(-z), loss(-) = soft(z).
-        gp, gu = -prior * sig(-zp) / len(zp), np.zeros(len(zu))
-        if negative >= 0:
-            gu, gp = sig(zu) / len(zu), gp - prior * sig(zp) / len(zp)
+        s = sums(w)
+        if s.loss_u / n_u - prior * s.loss_p / n_p >= 0:
+            g = s.up / n_u - prior * mean_p
         else:
-            gu, gp = -sig(zu) / len(zu), prior * sig(zp) / len(zp)
-        g = np.append((xp.T @ gp.astype(np.float32)).astype(float) + xu.T @ gu.astype(np.float32) + DECAY * w / len(zu), gp.sum() + gu.sum())
+            g = prior * s.pp / n_p - s.up / n_u
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    out = np.zeros(BUCKETS, np.float32)
-    out[chosen] = np.round(w, 4)
-    return Model(out, round(float(bias), 4), prior)
+        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, broadcast_ids: int = BROADCAST_IDS, local_features: int = LOCAL_FEATURES, steps: int = STEPS) -> Model:
     """prior: the share of toxic documents; by default that among all labelled ones."""
     if prior is None:
         prior = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("t")).agg(F.avg("t")).first()[0] or 0.0
-    return train(sample(docs, labels, max_positive, max_unlabelled), float(prior))
+    prior = float(prior)
+    none = Model(np.zeros(BUCKETS, np.float32), -1.0, prior)
+    if not 0 < prior < 1:
+        return none
+    marked, flag = _marked(docs, confirmed_ids(labels), broadcast_ids)
+    chosen = select(marked, flag, prior)
+    if not len(chosen):
+        return none
+    table = cut(marked.mapInArrow(_sets(flag, chosen), "set binary, u long, p long").groupBy("set").agg(F.sum("u").alias("u"), F.sum("p").alias("p")))
+    width = len(chosen)
+    n_u, n_p, size = table.agg(F.sum("u"), F.sum("p"), F.sum(F.expr("length(set) div 4 + 4"))).first()
+    t = table.where("p > 0").mapInArrow(_means(width), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
+    mean_p = t["n"].to_numpy() / n_p
+    if size <= local_features:
+        rows = table.orderBy("set").toArrow()
+        sums = Part(rows["set"].to_pylist(), rows["u"].to_numpy(), rows["p"].to_numpy(), width).sums
+    else:
+        sums = _job(table, width)
+    w = descend(sums, mean_p, n_u, n_p, prior, steps)
+    out = np.zeros(BUCKETS, np.float32)
+    out[chosen] = np.round(w[:-1], 4)
+    # A text without any of the features isn't toxic, whatever the prior.
+    return Model(out, min(round(float(w[-1]), 4), 0.0), prior)
+
+
+def _means(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1, np.int64)
+        for b in batches:
+            p = b.column(2).to_numpy()
+            total += Part(b.column(0).to_pylist(), p, p, width).total(p.astype(float)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["at", "n"])
+
+    return run
 
 
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
