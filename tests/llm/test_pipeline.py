@@ -36,6 +36,20 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted(map(tuple, packing.pack(spark.read.parquet(str(tmp_path / "3"))).collect())) == want
 
 
+def test_odd_rows_through_run(spark, tmp_path):
+    """Nulls, repeated ids, a very long text, an id beyond 2**53, and a further column of a name the operators use."""
+    big = 1152921504606846977
+    plain = "The committee met on Tuesday to discuss the plan, and nobody objected to it. "
+    texts = [(1, None), (2, ""), (3, plain), (3, plain), (3, "Another text of the same id, which is not like the first one at all."), (None, "A text without an id, of some words."), (None, "A text without an id, of some words."), (big, "A text with a very large id and a few more words."), (7, "Many words stand in a row, again and again, without an end. " * 20_000), (8, "password=\u0130\u0130\u0130\u0130qwerty and password=Xk29fjqpZZ81hd82"), (9, "\U00030000\U00030001 \U00030002")]
+    spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), 0.5) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, shard double").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 0), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+    assert big in tokens and None in tokens and tokens[7] == 300_000 and tokens[8] > 3 and {1, 2}.isdisjoint(tokens)
+
+
 def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
