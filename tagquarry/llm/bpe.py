@@ -8,9 +8,11 @@ on that token alone, and the automaton is deterministic with one state a token.
 gadgets (`left`, `right`, and the merge of a pair); an arc is expanded from it when a word first asks for
 it, and kept in the transition table of the worker.
 
-A word is encoded by transitions only: its tokens are the one path whose arcs' labels make up its bytes. The
-path is followed from left to right, the longest arc first, and back where there is no way on; a place that
-was left so is never entered again. No merge is ever replayed. Decoding emits the labels of the arcs.
+A word is encoded by transitions only: its tokens are the one path whose arcs' labels make up its bytes. Every
+beginning of a path is a path, and each beginning of the word has exactly one, so one pass from left to right finds for
+each place the one arc that ends there; nothing is tried twice, no merge is ever replayed. Decoding emits the labels.
+The driver compiles the automaton's tables once and broadcasts them. Spelt out, its transition table would be a bit for
+each pair of tokens, 312 MB for 50,000, which is why the gadgets travel and an arc is read from them.
 
 Defined results:
 - a null text has null tokens; an empty one has an empty list; both decode to themselves;
@@ -23,9 +25,11 @@ Defined results:
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and arcs kept by a worker; beyond it older ones go and are made again when asked for, with the same results.
-KEPT_WORDS, KEPT_ARCS = 300_000, 1_000_000
+#: Bytes of words, and arcs, kept by a worker; beyond it older ones go and are made again when asked for, with the same results.
+KEPT_BYTES, KEPT_ARCS = 80_000_000, 1_000_000
 
 
 def _bytes_of() -> dict[str, int]:
@@ -45,10 +49,12 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-    """Labels by id, and the merges in order as (left id, right id, id)."""
+def load(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], str]:
+    """Labels by id, the merges in order as (left id, right id, id), and the pattern that splits texts, PATTERN where the file names none."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    split = [x["pattern"]["Regex"] for x in before.get("pretokenizers", [before]) if x.get("type") == "Split"]
     to = _bytes_of()
     vocab = model["vocab"]
     labels = [b""] * (max(vocab.values()) + 1)
@@ -56,7 +62,7 @@ def load(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
         if all(c in to for c in s):
             labels[i] = bytes(to[c] for c in s)
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+    return labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], split[0] if split else PATTERN
 
 
 class Automaton:
@@ -78,7 +84,19 @@ class Automaton:
             u, v, k = self.left[i], self.right[i], self.born[i]
             own[i] = k < 0 or (own[u] and own[v] and self._has(u, v, k))
         self.ids = {b: i for i, b in enumerate(labels) if b and (len(b) == 1 or i in made and own[i])}
-        self.longest = max(map(len, self.ids), default=1)
+        # All labels that end at a place are found in one pass; bytes stand as the characters of Latin-1.
+        self.matcher = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.matcher.add_word(b.decode("latin-1"), (i, len(b)))
+        self.matcher.make_automaton()
+        self.found = self.matcher.iter
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "found"} | {"arcs": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.found = self.matcher.iter
 
     def _has(self, x: int, y: int, t: int) -> bool:
         """Whether the state after x has an arc y once the gadgets before t are in."""
@@ -107,54 +125,71 @@ class Automaton:
         return ok
 
     def word(self, b: bytes) -> tuple[int, ...]:
-        ids, arcs, arc, size = self.ids, self.arcs, self.arc, self.n
-        if (whole := ids.get(b)) is not None:
+        if (whole := self.ids.get(b)) is not None:
             return (whole,)
-        n, longest = len(b), self.longest
-        # A path over all of the word; the longest arcs are followed first. Of a prefix there is one path at
-        # most, so a place from which there is no way to the end is on no path, and isn't tried again.
-        out, at, shut = [], [0], set()
-        state, pos, end = -1, 0, min(n, longest)
-        while pos < n:
-            while end > pos:
-                if (y := ids.get(b[pos:end])) is not None and end not in shut:
-                    if state < 0 or (arc(state, y) if (ok := arcs.get(state * size + y)) is None else ok):
-                        break
-                end -= 1
-            if end > pos:
-                out.append(y)
-                at.append(end)
-                state, pos, end = y, end, min(n, end + longest)
-            else:
-                shut.add(pos)
-                end = at.pop() - 1
-                out.pop()
-                state, pos = out[-1] if out else -1, at[-1]
-        return tuple(out)
+        arcs, arc, size = self.arcs, self.arc, self.n
+        # The state that each beginning of the word leads to, which is its last token; none at the front.
+        state: list[int | None] = [None] * (len(b) + 1)
+        for last, (y, length) in self.found(b.decode("latin-1")):
+            end = last + 1
+            if state[end] is None:
+                x = state[end - length]
+                if length == end or x is not None and (arc(x, y) if (ok := arcs.get(x * size + y)) is None else ok):
+                    state[end] = y
+        out, end = [], len(b)
+        while end > 0:
+            out.append(y := state[end])
+            end -= len(self.labels[y])
+        return tuple(reversed(out))
+
+
+def _classes(pattern: str) -> str:
+    """The pattern for `re`, its letters, numbers and white space spelt out, of the characters up to U+FFFF."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    spelt = lambda c: "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{c}+", every))
+    inside = {c: spelt(c) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    out, within = [], False
+    for m in re.finditer(r"\\p\{[LN]\}|\\.|.", pattern, re.S):
+        if m[0] in inside:
+            out.append(inside[m[0]] if within else f"[{inside[m[0]]}]")
+        elif m[0] == r"\S" and not within:
+            out.append(f"[^{inside[chr(92) + 's']}]")
+        else:
+            within = m[0] == "[" or within and m[0] != "]"
+            out.append(m[0])
+    return "".join(out)
 
 
 class Codec:
-    def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], pattern: str = PATTERN):
-        self.automaton = a = Automaton(labels, merges)
-        self.labels = labels
+    def __init__(self, automaton: Automaton, pattern: str = PATTERN):
+        self.automaton = a = automaton
+        self.labels = a.labels
 
         class Words(dict):
-            """Tokens of a word, as the bytes of int32. The words before the last KEPT_WORDS go, unless they were asked for since."""
+            """Tokens of a word, as the bytes of int32. The words before the last KEPT_BYTES go, unless they were asked for since."""
 
             old: dict = {}
+            size = 0
 
             def __missing__(self, w: str) -> bytes:
-                if len(self) >= KEPT_WORDS:
+                if self.size >= KEPT_BYTES:
                     self.old = dict(self)
                     self.clear()
+                    self.size = 0
                 out = self.old.get(w)
                 if out is None:
                     out = array("i", a.word(w.encode())).tobytes()
+                self.size += 200 + len(w) + len(out)
                 self[w] = out
                 return out
 
         self.words = Words()
-        self.split = regex.compile(pattern).findall
+        self.any = regex.compile(pattern).findall
+        self.bmp = re.compile(_classes(pattern)).findall
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def split(self, text: str) -> list[str]:
+        return self.any(text) if not text.isascii() and self.beyond(text) else self.bmp(text)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.intc)
@@ -167,8 +202,9 @@ class Codec:
 
 
 def _codec(spark: SparkSession, path: str):
-    """A function that gives the worker's codec. The file is read once, by the driver."""
-    sent = spark.sparkContext.broadcast(load(path))
+    """A function that gives the worker's codec. The driver reads the file and compiles the automaton, once."""
+    labels, merges, pattern = load(path)
+    sent = spark.sparkContext.broadcast((Automaton(labels, merges), pattern))
     kept: list[Codec] = []
 
     def get() -> Codec:
