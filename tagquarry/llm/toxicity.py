@@ -80,61 +80,42 @@ def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return key % BUCKETS, np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
 
 
-Flag = Callable[[pa.Array], np.ndarray]
-
-
-def _marked(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> tuple[DataFrame, Flag]:
-    """text and a column that the function turns into whether a document is confirmed."""
+def _confirmed(docs: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """text of each confirmed document."""
     texts = docs.select("text", F.col("doc_id").cast("long").alias("_id"))
-    if ids.count() <= broadcast_ids:
-        return texts, among(docs.sparkSession, ids)
-    known = ids.select(F.col(ids.columns[0]).alias("_known")).hint("merge")
-    return texts.join(known, F.col("_id") == F.col("_known"), "left").select("text", F.col("_known").isNotNull().alias("_p")), lambda c: c.to_numpy(zero_copy_only=False).astype(bool)
-
+    if ids.count() > broadcast_ids:
+        known = ids.select(F.col(ids.columns[0]).alias("_known")).hint("merge")
+        return texts.join(known, F.col("_id") == F.col("_known"), "left_semi").select("text")
+    known = among(docs.sparkSession, ids)
 
-def _counter(flag: Flag):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One place more for the number of documents.
-        u, p = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            texts, sure = b.column(0).to_pylist(), flag(b.column(1))
-            u[-1] += len(texts)
-            p[-1] += sure.sum()
-            for lo, hi in chunks(texts):
-                at, cut_at = bags(texts[lo:hi])
-                u[:-1] += np.bincount(at, minlength=BUCKETS)
-                if sure[lo:hi].any():
-                    p[:-1] += np.bincount(at[np.repeat(sure[lo:hi], np.diff(cut_at))], minlength=BUCKETS)
-        seen = np.flatnonzero(u)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(u[seen]), pa.array(p[seen])], ["bucket", "u", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(known(b.column(1))))], ["text"])
 
-    return run
+    return texts.mapInArrow(run, "text string")
 
 
-def _evidence(flag: Flag, wanted: np.ndarray):
-    """Of each confirmed text: three keys, one at least of which it shares with most of its near copies, and its wanted features."""
-    _A = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = np.zeros(BUCKETS, bool)
-        use[wanted] = True
-        for b in batches:
-            texts = b.column(0).filter(pa.array(flag(b.column(1)))).to_pylist()
-            for lo, hi in chunks(texts):
-                at, cut_at = bags(texts[lo:hi])
-                has = np.flatnonzero(np.diff(cut_at))
-                if not len(has):
-                    continue
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: its features, and three keys, one at least of which it shares with most of its near copies."""
+    odd = mix(np.arange(1, 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        for lo, hi in chunks(texts):
+            at, cut_at = bags(texts[lo:hi])
+            has = np.flatnonzero(np.diff(cut_at))
+            keys = np.zeros((3, hi - lo), np.int64)
+            if len(has):
                 h = mix(at.astype(np.uint64))
-                mins = [np.minimum.reduceat(mix(h * a), cut_at[has]) for a in _A]
-                keys = [mix(mins[3 * k] + mix(mins[3 * k + 1] + mix(mins[3 * k + 2]))).astype(np.int64) for k in range(3)]
-                sets = [x[use[x]].astype("<i4").tobytes() for x in (at[cut_at[i] : cut_at[i + 1]] for i in has)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(sets, pa.binary())], ["k0", "k1", "k2", "set"])
-
-    return run
+                mins = [np.minimum.reduceat(mix(h * a), cut_at[has]) for a in odd]
+                for k in range(3):
+                    keys[k, has] = mix(mins[3 * k] + mix(mins[3 * k + 1] + mix(mins[3 * k + 2]))).astype(np.int64)
+            low = at.astype("<i4").tobytes()
+            sets = [low[4 * x : 4 * y] for x, y in zip(cut_at[:-1], cut_at[1:])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(sets, pa.binary())], ["k0", "k1", "k2", "set"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # One place more for the number of texts.
     n = np.zeros(BUCKETS + 1, np.int64)
     for b in batches:
         n[-1] += b.num_rows
@@ -143,52 +124,23 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], ["bucket", "n"])
 
 
-def select(marked: DataFrame, flag: Flag, prior: float) -> np.ndarray:
-    """The features that the model weighs, ascending."""
-    counted = marked.mapInArrow(_counter(flag), "bucket int, u long, p long").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-    # A row a bucket at most, whatever the input.
-    t = counted.where("p > 0").toArrow()
-    at, ku, kp = (t[c].to_numpy() for c in ("bucket", "u", "p"))
-    all_ = at == BUCKETS
-    if not all_.any():
-        return np.zeros(0, np.int64)
-    n_u, n_p = int(ku[all_][0]), int(kp[all_][0])
-    # As U holds its share of positives, a feature of toxic texts only has prior * share_p = share_u.
-    fits = ~all_ & (2 * prior * (kp / n_p) >= ku / n_u)
-    order = np.argsort(at[fits])
-    at, ku = at[fits][order], ku[fits][order]
-    unlike = marked.mapInArrow(_evidence(flag, at), "k0 long, k1 long, k2 long, set binary")
-    for k in ("k0", "k1", "k2"):
-        unlike = unlike.groupBy(k).agg(F.min(F.struct("k0", "k1", "k2", "set")).alias("_row")).select("_row.*")
-    t = unlike.select("set").mapInArrow(_unpack, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(BUCKETS + 1, np.int64)
-    found[t["bucket"].to_numpy()] = t["n"].to_numpy()
-    seen, expected = found[at], found[BUCKETS] * (ku / n_u)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # Twice the log-likelihood ratio of a Poisson rate of its own against that of all documents.
-        g = 2 * (np.where(seen, seen * np.log(seen / expected), 0) - seen + expected)
-    return at[(seen > expected) & (g >= least_ratio(len(kp) - 1))].astype(np.int64)
-
-
-def least_ratio(tested: int) -> float:
-    """The doubled log-likelihood ratio that chance gives to as many as may get in: a quantile of chi squared with one degree of freedom."""
-    lo, hi, level = 0.0, 100.0, min(SHARE, BY_CHANCE / max(tested, 1))
-    while hi - lo > 1e-6:
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if math.erfc(math.sqrt(mid / 2)) > level else (lo, mid)
-    return hi
+def _counts(sets: DataFrame) -> np.ndarray:
+    """Texts that have each feature, and their number. A row a bucket at most comes to the driver, whatever the input."""
+    t = sets.select("set").mapInArrow(_unpack, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS + 1, np.int64)
+    out[t["bucket"].to_numpy()] = t["n"].to_numpy()
+    return out
 
 
-def _sets(flag: Flag, chosen: np.ndarray):
-    """Distinct sets of chosen features (their places, 4 bytes each), with the documents and confirmed documents that have them."""
+def _sets(chosen: np.ndarray):
+    """doc_id and the chosen features of each text: their places, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(BUCKETS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        seen: dict[bytes, list[int]] = {}
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["set", "u", "p"])
         for b in batches:
-            texts, sure = b.column(0).to_pylist(), flag(b.column(1))
+            texts = b.column(1).to_pylist()
+            sets: list[bytes] = []
             for lo, hi in chunks(texts):
                 at, doc = features(texts[lo:hi])
                 at = place[at]
@@ -196,19 +148,55 @@ def _sets(flag: Flag, chosen: np.ndarray):
                 key = np.unique(doc[hit] * BUCKETS + at[hit])
                 low = (key % BUCKETS).astype("<i4").tobytes()
                 cut_at = np.searchsorted(key, np.arange(hi - lo + 1) * BUCKETS)
-                for i, p in enumerate(sure[lo:hi].tolist()):
-                    v = seen.setdefault(low[4 * cut_at[i] : 4 * cut_at[i + 1]], [0, 0])
-                    v[0] += 1
-                    v[1] += p
-            if len(seen) > 100_000:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+                sets += [low[4 * x : 4 * y] for x, y in zip(cut_at[:-1], cut_at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    return run
+
+
+def _sum_sets(width: int):
+    """How many of the sets hold each place, counted within the task, and how many sets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1, np.int64)
+        for b in batches:
+            total[-1] += b.num_rows
+            total[:-1] += np.bincount(np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4"), minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["at", "n"])
 
     return run
 
 
+def select(docs: DataFrame, confirmed: DataFrame, prior: float) -> np.ndarray:
+    """The features that the model weighs, ascending; confirmed as _evidence has them."""
+    kp = _counts(confirmed)
+    unlike = confirmed.where("length(set) > 0")
+    for k in ("k0", "k1", "k2"):
+        unlike = unlike.groupBy(k).agg(F.min(F.struct("k0", "k1", "k2", "set")).alias("_row")).select("_row.*")
+    seen = _counts(unlike)
+    at = np.flatnonzero(kp[:-1])
+    if not len(at):
+        return at
+    counted = docs.select("doc_id", "text").mapInArrow(_sets(at), "doc_id long, set binary").mapInArrow(_sum_sets(len(at)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()["n"].to_numpy()
+    ku, n_u = counted[:-1], counted[-1]
+    expected = seen[-1] * (ku / n_u)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Twice the log-likelihood ratio of a Poisson rate of its own against that of all documents.
+        g = 2 * (np.where(seen[at], seen[at] * np.log(seen[at] / expected), 0) - seen[at] + expected)
+    # As U holds its share of positives, a feature of toxic texts only has prior * share_p = share_u.
+    fits = 2 * prior * (kp[at] / kp[-1]) >= ku / n_u
+    return at[fits & (seen[at] > expected) & (g >= least_ratio(len(at)))]
+
+
+def least_ratio(tested: int) -> float:
+    """The doubled log-likelihood ratio that chance gives to as many as may get in: a quantile of chi squared with one degree of freedom."""
+    lo, hi, level = 0.0, 100.0, min(SHARE, BY_CHANCE / max(tested, 1))
+    while hi - lo > 1e-6:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if math.erfc(math.sqrt(mid / 2)) > level else (lo, mid)
+    return hi
+
+
 @dataclass
 class Sums:
     """Of rows of sets: what a step of the fit needs, not yet divided by the numbers of documents."""
@@ -270,23 +258,31 @@ def descend(sums: Callable[[np.ndarray], Sums], mean_p: np.ndarray, n_u: int, n_
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, broadcast_ids: int = BROADCAST_IDS, local_features: int = LOCAL_FEATURES, steps: int = STEPS) -> Model:
-    """prior: the share of toxic documents; by default that among all labelled ones."""
+@dataclass
+class Fitted:
+    model: Model
+    chosen: np.ndarray
+    sets: DataFrame | None  # doc_id, set of each document, where the model weighs anything
+
+
+def learn(docs: DataFrame, labels: DataFrame, prior: float | None = None, broadcast_ids: int = BROADCAST_IDS, local_features: int = LOCAL_FEATURES, steps: int = STEPS) -> Fitted:
     if prior is None:
         prior = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("t")).agg(F.avg("t")).first()[0] or 0.0
     prior = float(prior)
-    none = Model(np.zeros(BUCKETS, np.float32), -1.0, prior)
+    none = Fitted(Model(np.zeros(BUCKETS, np.float32), -1.0, prior), np.zeros(0, np.int64), None)
     if not 0 < prior < 1:
         return none
-    marked, flag = _marked(docs, confirmed_ids(labels), broadcast_ids)
-    chosen = select(marked, flag, prior)
+    confirmed = cut(_confirmed(docs, confirmed_ids(labels), broadcast_ids).mapInArrow(_evidence, "k0 long, k1 long, k2 long, set binary"))
+    chosen = select(docs, confirmed, prior)
     if not len(chosen):
         return none
-    table = cut(marked.mapInArrow(_sets(flag, chosen), "set binary, u long, p long").groupBy("set").agg(F.sum("u").alias("u"), F.sum("p").alias("p")))
     width = len(chosen)
+    sets = cut(docs.select("doc_id", "text").mapInArrow(_sets(chosen), "doc_id long, set binary"))
+    table = sets.groupBy("set").agg(F.count("*").alias("u")).select("set", "u", F.lit(0).cast("long").alias("p"))
+    of_p = confirmed.select("set").mapInArrow(_places(chosen), "set binary").groupBy("set").agg(F.count("*").alias("p")).select("set", F.lit(0).cast("long").alias("u"), "p")
+    table = cut(table.unionByName(of_p).groupBy("set").agg(F.sum("u").alias("u"), F.sum("p").alias("p")))
     n_u, n_p, size = table.agg(F.sum("u"), F.sum("p"), F.sum(F.expr("length(set) div 4 + 4"))).first()
-    t = table.where("p > 0").mapInArrow(_means(width), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()
-    mean_p = t["n"].to_numpy() / n_p
+    mean_p = np.append(_counts(confirmed)[chosen], n_p) / n_p
     if size <= local_features:
         rows = table.orderBy("set").toArrow()
         sums = Part(rows["set"].to_pylist(), rows["u"].to_numpy(), rows["p"].to_numpy(), width).sums
@@ -296,20 +292,25 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, broadcas
     out = np.zeros(BUCKETS, np.float32)
     out[chosen] = np.round(w[:-1], 4)
     # A text without any of the features isn't toxic, whatever the prior.
-    return Model(out, min(round(float(w[-1]), 4), 0.0), prior)
+    return Fitted(Model(out, min(round(float(w[-1]), 4), 0.0), prior), chosen, sets)
 
 
-def _means(width: int):
+def _places(chosen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 1, np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
         for b in batches:
-            p = b.column(2).to_numpy()
-            total += Part(b.column(0).to_pylist(), p, p, width).total(p.astype(float)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["at", "n"])
+            found = (place[np.frombuffer(x, "<i4")] for x in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([np.sort(x[x >= 0]).astype("<i4").tobytes() for x in found], pa.binary())], ["set"])
 
     return run
 
 
+def fit(docs: DataFrame, labels: DataFrame, **fitting) -> Model:
+    """prior: the share of toxic documents; by default that among all labelled ones."""
+    return learn(docs, labels, **fitting).model
+
+
 def scores(texts: list[str | None], model: Model) -> np.ndarray:
     out = np.full(len(texts), model.bias)
     for lo, hi in chunks(texts):
@@ -321,12 +322,13 @@ def scores(texts: list[str | None], model: Model) -> np.ndarray:
     return out
 
 
-def decide(df: DataFrame, model: Model, keep_columns: bool) -> DataFrame:
+def keep_clean(df: DataFrame, model: Model) -> DataFrame:
+    """The rows of df whose text isn't toxic, with all their columns."""
     chosen = np.flatnonzero(model.weights)
     small = df.sparkSession.sparkContext.broadcast((chosen, model.weights[chosen], model.bias, model.prior))
     cache: dict[int, Model] = {}
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if 0 not in cache:
             at, w, bias, prior = small.value
             full = np.zeros(BUCKETS, np.float32)
@@ -334,24 +336,32 @@ def decide(df: DataFrame, model: Model, keep_columns: bool) -> DataFrame:
             cache[0] = Model(full, bias, prior)
         for b in batches:
             s = scores(b.column(b.schema.get_field_index("text")).to_pylist(), cache[0])
-            if keep_columns:
-                yield b.filter(pa.array(s <= 0))
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(s, 4)), pa.array(s > 0)], ["doc_id", "score", "toxic"])
+            yield b.filter(pa.array(s <= 0))
 
-    if keep_columns:
-        return df.mapInArrow(score, df.schema)
-    return df.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, toxic boolean")
+    return df.mapInArrow(run, df.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """doc_id, score, toxic for every row of docs."""
-    return decide(docs, fit(docs, labels, **fitting), False)
+    f = learn(docs, labels, **fitting)
+    if f.sets is None:
+        return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", f"{f.model.bias}D AS score", "false AS toxic")
+    small = docs.sparkSession.sparkContext.broadcast((f.model.weights[f.chosen], f.model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = small.value
+        for b in batches:
+            sets = b.column(1).to_pylist()
+            row = np.repeat(np.arange(len(sets)), [len(x) // 4 for x in sets])
+            s = bias + np.bincount(row, weights=w[np.frombuffer(b"".join(sets), "<i4")], minlength=len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(s, 4)), pa.array(s > 0)], ["doc_id", "score", "toxic"])
+
+    return f.sets.mapInArrow(run, "doc_id long, score double, toxic boolean")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
-    return decide(docs, fit(docs, labels, **fitting), True)
+    return keep_clean(docs, fit(docs, labels, **fitting))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

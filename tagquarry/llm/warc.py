@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .graph import cut, scratch
 
 #: Digests with several records are broadcast up to this many rows (about 200 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_DIGESTS = 500_000
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, warc_type string, uri string, date string, digest string, refers_to_uri string, refers_to_date string, content_type string, payload binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -105,8 +105,8 @@ def test_toxicity_against_brute_force(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 200)], "doc_id long, toxic int")
     bags = [set(toxicity.features([t])[0].tolist()) if t else set() for t in texts]
     sure = [i for i in range(0, 200, 5)]
-    marked, flag = toxicity._marked(docs, toxicity.confirmed_ids(labels), 10)
-    chosen = toxicity.select(marked, flag, 0.2).tolist()
+    evidence = toxicity._confirmed(docs, toxicity.confirmed_ids(labels), 10).mapInArrow(toxicity._evidence, "k0 long, k1 long, k2 long, set binary")
+    chosen = toxicity.select(docs, evidence, 0.2).tolist()
     tested = {x for i in sure for x in bags[i]}
     assert not {x for x in chosen if x not in tested}
     for x in tested:
@@ -130,6 +130,10 @@ def test_toxicity_against_brute_force(spark):
         assert abs((risk(w + e, sure) - risk(w - e, sure)) / 2e-5 - s.pp[k]) < 1e-4
     near, far = toxicity.fit(docs, labels, steps=12), toxicity.fit(docs, labels, steps=12, broadcast_ids=0, local_features=0)
     assert np.abs(near.weights - far.weights).max() < 2e-4 and abs(near.bias - far.bias) < 2e-4 and (near.weights != 0).sum() == len(chosen)
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels, steps=12).collect()}
+    want = toxicity.scores(texts, near)
+    assert len(scored) == len(texts) and all(abs(scored[i].score - s) < 2e-4 and scored[i].toxic == (s > 0) for i, s in enumerate(want))
+    assert {r.doc_id for r in toxicity.filter_toxic(docs, labels, steps=12).collect()} == {i for i, s in enumerate(want) if s <= 0}
 
 
 def test_the_risk_is_not_followed_below_zero():
