@@ -72,9 +72,10 @@ def custom(tags: Column) -> Column:
 
 def pictures(pics: Column) -> Column:
     """Unrecognised images, each repeat of an image, several front covers, icons that aren't unique. pics: structs with type, mime, data."""
-    h = F.transform(pics, lambda p: F.sha2(p["data"], 256))
+    hashed = F.transform(pics, lambda p: F.struct(F.sha2(p["data"], 256).alias("h"), p["type"].cast("int").alias("type")))
     bad = _some(F.transform(pics, lambda p: F.when(p["mime"] == "application/octet-stream", finding("warning", "invalid-picture", None, p["mime"]))))
-    again = _some(F.transform(h, lambda x, i: F.when(F.array_position(h, x) < i + 1, finding("warning", "duplicate-picture", None, F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(pics, lambda p: F.sha2(p["data"], 256) == x), lambda p: p["type"].cast("int")))).cast("array<string>"), ",")))))
+    types = lambda hs, x: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(hs, lambda y: y["h"] == x["h"]), lambda y: y["type"]))).cast("array<string>"), ",")
+    again = T.let(hashed, lambda hs: _some(F.transform(hs, lambda x, i: F.when(F.array_position(hs["h"], x["h"]) < i + 1, finding("warning", "duplicate-picture", None, types(hs, x))))))
     of = lambda k: F.size(F.filter(pics, lambda p: p["type"] == k))
     fronts = F.when(of(3) > 1, F.array(finding("warning", "multiple-front-covers", None, of(3).cast("string")))).otherwise(F.array()).cast(FINDINGS)
     icons = F.when((of(1) > 1) | (of(2) > 1), F.array(finding("error", "duplicate-icon"))).otherwise(F.array()).cast(FINDINGS)

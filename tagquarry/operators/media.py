@@ -67,8 +67,8 @@ def remove_pictures(pics: Column, match) -> Column:
 def subtract_fold(values: Column, covered: Column) -> Column:
     """The values that `covered` doesn't hold, folded; of a value that is there n times, as many as covered has go."""
     n = lambda arr, f: F.size(F.filter(arr, lambda x: x == f))
-    folded, have = F.transform(values, fold), F.transform(covered, fold)
-    return F.filter(values, lambda v, i: n(F.slice(folded, 1, i + 1), fold(v)) > n(have, fold(v)))
+    keep = lambda x: F.filter(values, lambda v, i: n(F.slice(x["f"], 1, i + 1), F.get(x["f"], i)) > n(x["h"], F.get(x["f"], i)))
+    return T.let(F.struct(F.transform(values, fold).alias("f"), F.transform(covered, fold).alias("h")), keep)
 
 
 def to_json(media: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ def let(value: Column, body) -> Column:
 
 
 def has(tags: Column, key) -> Column:
-    return F.exists(tags, lambda t: t["key"] == key)
+    return F.array_contains(tags["key"], key)
 
 
 def values_of(tags: Column, key) -> Column:
     """Null for an absent key."""
-    return F.get(F.filter(tags, lambda t: t["key"] == key), F.lit(0))["values"]
+    return F.get(tags, F.array_position(tags["key"], key) - 1)["values"]
 
 
 def first(tags: Column, key) -> Column:
@@ -48,7 +48,7 @@ def value_count(tags: Column, key) -> Column:
 
 
 def keys(tags: Column) -> Column:
-    return F.transform(tags, lambda t: t["key"])
+    return tags["key"]
 
 
 def set_(tags: Column, key, values: Column) -> Column:

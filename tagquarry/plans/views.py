@@ -51,9 +51,15 @@ def duck(view: list) -> str:
     return f"list_filter([{', '.join(one(*x) for x in view)}], lambda x: x IS NOT NULL)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (a small table, or one of large row groups) is dealt out over all of them; any other is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def orders_tags(s: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tags, tags_b."""
-    return s.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(spark(ORDERS)).alias("tags"), F.expr(spark(ORDERS_B)).alias("tags_b"))
+    return spread(s.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")).select(F.col("o_orderkey").alias("doc_id"), F.expr(spark(ORDERS)).alias("tags"), F.expr(spark(ORDERS_B)).alias("tags_b"))
 
 
 #: The long relation in DuckDB: a (doc_id, tags, tags_b), k (a row a key) and v (a row a value) of tags; kb and vb of tags_b.

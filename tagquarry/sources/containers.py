@@ -9,6 +9,7 @@ import base64
 import hashlib
 import re
 import struct
+import zlib
 
 from ..functions import vocabulary as K
 
@@ -36,6 +37,41 @@ def genres(value: str) -> list[str]:
     return [g for i, g in enumerate(out) if not i or out[i - 1] != g]
 
 
+#: Elements of one level, and lines of a timed lyric, that a parser takes.
+MAX_ELEMENTS, MAX_LINES = 100_000, 65_536
+
+
+class TooLarge(ValueError):
+    """Beyond a limit of the parser: an error of the file, which is never read in part."""
+
+
+def _counted(n: int) -> int:
+    if n >= MAX_ELEMENTS:
+        raise TooLarge(f"more than {MAX_ELEMENTS} elements")
+    return n + 1
+
+
+def frame_data(d: bytes, flags: int, version: int) -> bytes | None:
+    """A frame's data as its format flags have it; null for an encrypted frame, or one that can't be unpacked."""
+    if version == 4:
+        packed, secret, grouped, length = flags & 8, flags & 4, flags & 64, flags & 1
+        d = d[1 if grouped else 0 :]
+        d = d[4 if length else 0 :]
+        d = d.replace(b"\xff\x00", b"\xff") if flags & 2 else d
+    else:
+        packed, secret, grouped = flags & 128, flags & 64, flags & 32
+        d = d[4 if packed else 0 :]
+        d = d[1 if grouped and not secret else 0 :]
+    if secret:
+        return None
+    if packed:
+        try:
+            return zlib.decompressobj().decompress(d, 1 << 28)
+        except zlib.error:
+            return None
+    return d
+
+
 class Media:
     def __init__(self):
         self.format = ""
@@ -78,6 +114,11 @@ class Media:
     def chapter(self, start: int, end: int, title: str, language: str = "", hidden: bool = False, disabled: bool = False) -> None:
         self.chapters.append({"start_ns": start, "end_ns": end, "title": title, "language": language, "hidden": hidden, "disabled": disabled})
 
+    def timed(self, lines: list[dict], language: str = "", description: str = "") -> None:
+        if len(lines) > MAX_LINES:
+            self.warn("synced-lyrics-truncated", str(len(lines)))
+        self.lyrics.append({"language": language, "description": description, "lines": lines[:MAX_LINES]})
+
     def tags(self) -> list[dict]:
         out: dict[str, list[str]] = {}
         for key, value, _, _ in self.items:
@@ -163,7 +204,7 @@ def id3_size(b: bytes, at: int = 0) -> int:
     return 10 + syncsafe(b[at + 6 : at + 10]) + (10 if b[at + 5] & 16 else 0)
 
 
-def _text(enc: int, b: bytes) -> list[str]:
+def frame_text(enc: int, b: bytes) -> list[str]:
     codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(enc, "latin-1")
     if enc == 1 and b[:2] not in (b"\xff\xfe", b"\xfe\xff"):
         codec = "utf-16-le"
@@ -174,15 +215,15 @@ def _text(enc: int, b: bytes) -> list[str]:
     return parts
 
 
-def _cut(enc: int, b: bytes) -> tuple[str, bytes]:
+def cut_string(enc: int, b: bytes) -> tuple[str, bytes]:
     """A terminated string and what follows."""
     if enc in (1, 2):
         at = 0
         while at + 1 < len(b) and b[at : at + 2] != b"\0\0":
             at += 2
-        return _text(enc, b[:at])[0] if at else "", b[at + 2 :]
+        return frame_text(enc, b[:at])[0] if at else "", b[at + 2 :]
     head, _, rest = b.partition(b"\0")
-    return _text(enc, head)[0], rest
+    return frame_text(enc, head)[0], rest
 
 
 def id3v2(m: Media, b: bytes, family: str = "id3v2") -> None:
@@ -195,7 +236,7 @@ def id3v2(m: Media, b: bytes, family: str = "id3v2") -> None:
         body = body[min(n, len(body)) :]
     at, head = 0, 6 if version == 2 else 10
     dates: dict[str, str] = {}
-    chaps: dict[bytes, tuple] = {}
+    chaps: dict[bytes, list[tuple]] = {}
     order: list[bytes] = []
     while at + head <= len(body) and body[at]:
         if version == 2:
@@ -208,12 +249,9 @@ def id3v2(m: Media, b: bytes, family: str = "id3v2") -> None:
             break
         data = body[at + head : at + head + n]
         at += head + n
-        if version == 4:
-            if fl & 1 and len(data) >= 4:
-                data = data[4:]
-            if fl & 2:
-                data = data.replace(b"\xff\x00", b"\xff")
         f = name.decode()
+        if version > 2 and (data := frame_data(data, fl, version)) is None:
+            m.warn("tag-structure-dropped", f)
         f = K.ID3_V22.get(f, f) if version == 2 else f
         if data:
             _frame(m, f, data, family, dates, chaps, order, version)
@@ -228,8 +266,9 @@ def id3v2(m: Media, b: bytes, family: str = "id3v2") -> None:
         v = dates.get("TORY") if frame == "TDOR" and v is None else v
         if v:
             m.add(key, v, family, frame)
-    ids = [*[i for i in order if i in chaps], *[i for i in chaps if i not in order]]
-    for start, end, title in sorted((chaps[i] for i in dict.fromkeys(ids)), key=lambda c: c[0]):
+    # Of several with one id, the table of contents takes the first first.
+    listed = [chaps[i].pop(0) for i in order if chaps.get(i)]
+    for start, end, title in sorted([*listed, *(c for cs in chaps.values() for c in cs)], key=lambda c: c[0]):
         m.chapter(start, end, title)
     m.native.append(("ID3v2", len(b)))
 
@@ -237,15 +276,15 @@ def id3v2(m: Media, b: bytes, family: str = "id3v2") -> None:
 def _frame(m: Media, f: str, d: bytes, family: str, dates: dict, chaps: dict, order: list, version: int) -> None:
     enc = d[0]
     if f == "TXXX":
-        desc, rest = _cut(enc, d[1:])
+        desc, rest = cut_string(enc, d[1:])
         up = desc.upper()
         key = K.ID3_TXXX.get(up) or K.ALIASES.get(up, up)
-        for v in _text(enc, rest):
+        for v in frame_text(enc, rest):
             m.add(key, v, family, f"TXXX\0{up}")
     elif f in ("TYER", "TDAT", "TIME", "TORY", "TDRC", "TDRL", "TDOR"):
-        dates.setdefault(f, _text(enc, d[1:])[0].strip())
+        dates.setdefault(f, frame_text(enc, d[1:])[0].strip())
     elif f == "TCON":
-        for v in _text(enc, d[1:]):
+        for v in frame_text(enc, d[1:]):
             names = genres(v)
             if names != [v]:
                 m.warn("numeric-genre", v)
@@ -253,21 +292,21 @@ def _frame(m: Media, f: str, d: bytes, family: str, dates: dict, chaps: dict, or
                 m.add("GENRE", g, family, f)
     elif f in ("TRCK", "TPOS"):
         n, t = ("TRACKNUMBER", "TRACKTOTAL") if f == "TRCK" else ("DISCNUMBER", "DISCTOTAL")
-        m.pair(n, t, _text(enc, d[1:])[0], family, f)
+        m.pair(n, t, frame_text(enc, d[1:])[0], family, f)
     elif f in ("TIPL", "IPLS", "TMCL"):
-        pairs = _text(enc, d[1:])
+        pairs = frame_text(enc, d[1:])
         for role, who in zip(pairs[::2], pairs[1::2]):
             if f == "TMCL":
                 m.add("PERFORMER", f"{who} ({role})" if role else who, family, f)
             elif key := K.ID3_ROLES.get(role.strip().lower()):
                 m.add(key, who, family, f"{f}\0{role}")
     elif f in K.ID3_FRAMES:
-        for v in _text(enc, d[1:]):
+        for v in frame_text(enc, d[1:]):
             m.add(K.ID3_FRAMES[f], v, family, f)
     elif f in ("COMM", "USLT") and len(d) > 4:
-        desc, rest = _cut(enc, d[4:])
+        desc, rest = cut_string(enc, d[4:])
         if f == "USLT" or not desc:
-            m.add("LYRICS" if f == "USLT" else "COMMENT", _text(enc, rest)[0], family, f)
+            m.add("LYRICS" if f == "USLT" else "COMMENT", frame_text(enc, rest)[0], family, f)
     elif f == "UFID":
         owner, _, ident = d.partition(b"\0")
         if owner == b"http://musicbrainz.org":
@@ -278,18 +317,22 @@ def _frame(m: Media, f: str, d: bytes, family: str, dates: dict, chaps: dict, or
         else:
             raw, _, rest = d[1:].partition(b"\0")
             mime, kind, rest = raw.decode("latin-1"), rest[0] if rest else 0, rest[1:]
-        desc, data = _cut(enc, rest)
+        desc, data = cut_string(enc, rest)
         m.picture(kind, mime, desc, data)
-    elif f == "SYLT" and len(d) > 6 and d[4] == 2 and d[5] == 1:
-        desc, rest = _cut(enc, d[6:])
+    elif f == "SYLT" and len(d) > 6 and d[4] != 2:
+        m.warn("synced-lyrics-timestamp-format", str(d[4]))
+    elif f == "SYLT" and len(d) > 6 and d[5] != 1:
+        m.warn("synced-lyrics-content-type", str(d[5]))
+    elif f == "SYLT" and len(d) > 6:
+        desc, rest = cut_string(enc, d[6:])
         lines = []
         while rest:
-            t, rest = _cut(enc, rest)
+            t, rest = cut_string(enc, rest)
             if len(rest) < 4:
                 break
             lines.append({"time_ns": int.from_bytes(rest[:4], "big") * 1_000_000, "text": t.lstrip("\n")})
             rest = rest[4:]
-        m.lyrics.append({"language": d[1:4].decode("latin-1"), "description": desc, "lines": lines[:65536]})
+        m.timed(lines, d[1:4].decode("latin-1"), desc)
     elif f == "CHAP":
         ident, _, rest = d.partition(b"\0")
         if len(rest) >= 16:
@@ -298,10 +341,10 @@ def _frame(m: Media, f: str, d: bytes, family: str, dates: dict, chaps: dict, or
             while len(sub) >= 10:
                 n = syncsafe(sub[4:8]) if version == 4 else int.from_bytes(sub[4:8], "big")
                 if sub[:4] == b"TIT2" and n > 1:
-                    title = _text(sub[10], sub[11 : 10 + n])[0]
+                    title = frame_text(sub[10], sub[11 : 10 + n])[0]
                 sub = sub[10 + n :]
             if start != 0xFFFFFFFF:
-                chaps.setdefault(ident, (start * 1_000_000, 0 if end == 0xFFFFFFFF else end * 1_000_000, title))
+                chaps.setdefault(ident, []).append((start * 1_000_000, 0 if end == 0xFFFFFFFF else end * 1_000_000, title))
     elif f == "CTOC":
         _, _, rest = d.partition(b"\0")
         if len(rest) >= 2 and rest[0] & 2 or not order:
@@ -328,7 +371,8 @@ def ape(b: bytes, end: int) -> tuple[int, list[tuple[str, str]]]:
     if start < 0 or size < 32:
         return end, []
     at, out = start, []
-    for _ in range(min(count, 65536)):
+    for n in range(count):
+        _counted(n)
         if at + 8 > end - 32:
             break
         n, fl = struct.unpack("<II", b[at : at + 8])
@@ -352,7 +396,8 @@ def vorbis_comments(m: Media, b: bytes, family: str) -> None:
     count = int.from_bytes(b[at : at + 4], "little")
     at += 4
     chap: dict[str, list[str]] = {}
-    for _ in range(min(count, 100_000)):
+    for k in range(count):
+        _counted(k)
         if at + 4 > len(b):
             m.warn("tag-structure-dropped", "comment list")
             break
@@ -368,17 +413,38 @@ def vorbis_comments(m: Media, b: bytes, family: str) -> None:
                 flac_picture(m, base64.b64decode(value))
             except ValueError:
                 m.warn("invalid-picture", up)
-        elif x := re.fullmatch(r"CHAPTER(\d{3})(NAME)?", up):
-            chap.setdefault(x[1], ["", ""])[bool(x[2])] = value
+        elif up == "SYNCEDLYRICS":
+            m.timed(lrc(value))
+        elif x := re.fullmatch(r"CHAPTER(\d{3})(NAME|URL)?", up):
+            chap.setdefault(x[1], ["", "", ""])[{"NAME": 1, "URL": 2}.get(x[2], 0)] = value
         else:
             m.add(K.ALIASES.get(up, up), value, family, up)
-    for _, (t, title) in sorted(chap.items()):
+    for _, (t, title, _) in sorted(chap.items()):
         if x := re.fullmatch(r"(\d+):(\d{1,2}):(\d{1,2})(?:\.(\d{1,9}))?", t):
             m.chapter(((int(x[1]) * 60 + int(x[2])) * 60 + int(x[3])) * 10**9 + int((x[4] or "0").ljust(9, "0")), 0, title)
     if re.search("lavf|libavformat", vendor, re.I):
         m.warn("inherited-encoder", vendor)
 
 
+_STAMP = re.compile(r"\[(\d+):([0-5]?\d)(?:[.:](\d{1,3}))?\]")
+
+
+def lrc(text: str) -> list[dict]:
+    """The lines of a timed lyric, by time: a line may have several stamps; an `[offset:ms]` is taken off all."""
+    out, offset = [], 0
+    for line in text.lstrip("\ufeff").splitlines():
+        if x := re.fullmatch(r"\s*\[offset:\s*([+-]?\d{1,9})\s*\]\s*", line):
+            offset = int(x[1])
+            continue
+        at, stamps = 0, []
+        while x := _STAMP.match(line, at):
+            stamps.append((int(x[1]) * 60 + int(x[2])) * 1000 + int((x[3] or "0").ljust(3, "0")))
+            at = x.end()
+        words = line[at:]
+        out += [(t, words[1:] if words.startswith(" ") else words) for t in stamps]
+    return [{"time_ns": max(t - offset, 0) * 1_000_000, "text": words} for t, words in sorted(out, key=lambda x: x[0])]
+
+
 def flac_picture(m: Media, b: bytes) -> None:
     kind, n = struct.unpack(">II", b[:8])
     mime, at = b[8 : 8 + n].decode("latin-1"), 8 + n
@@ -567,7 +633,8 @@ def aac(m: Media, b: bytes, lo: int) -> None:
 
 def _chunks(m: Media, b: bytes, big: bool):
     at, n = 12, 0
-    while at + 8 <= len(b) and n < 100_000:
+    while at + 8 <= len(b):
+        n = _counted(n)
         if b[at : at + 3] == b"TAG" and len(b) - at == 128:
             return
         size = int.from_bytes(b[at + 4 : at + 8], "big" if big else "little")
@@ -576,7 +643,6 @@ def _chunks(m: Media, b: bytes, big: bool):
             size = len(b) - at - 8
         yield b[at : at + 4], at + 8, size
         at += 8 + size + (size & 1)
-        n += 1
 
 
 def _overlay(m: Media, native: list[tuple[str, str]], family: str) -> None:
@@ -649,7 +715,8 @@ def aiff(m: Media, b: bytes) -> None:
 
 def _atoms(b: bytes, lo: int, hi: int):
     n = 0
-    while lo + 8 <= hi and n < 100_000:
+    while lo + 8 <= hi:
+        n = _counted(n)
         size, head = int.from_bytes(b[lo : lo + 4], "big"), 8
         if size == 1 and lo + 16 <= hi:
             size, head = int.from_bytes(b[lo + 8 : lo + 16], "big"), 16
@@ -659,7 +726,6 @@ def _atoms(b: bytes, lo: int, hi: int):
             return
         yield b[lo + 4 : lo + 8], lo + head, min(lo + size, hi)
         lo += size
-        n += 1
 
 
 def mp4(m: Media, b: bytes) -> None:
@@ -757,14 +823,15 @@ def _vint(b: bytes, at: int, keep: bool) -> tuple[int, int]:
 
 def _elements(b: bytes, lo: int, hi: int):
     n = 0
-    while lo < hi and n < 100_000:
+    while lo < hi:
+        n = _counted(n)
         ident, at = _vint(b, lo, True)
         size, at = _vint(b, at, False)
         if at > hi or ident < 0:
             return
         end = hi if size < 0 else min(at + size, hi)
         yield ident, at, end
-        lo, n = end, n + 1
+        lo = end
 
 
 def matroska(m: Media, b: bytes) -> None:

@@ -11,29 +11,33 @@ from pyspark.sql import functions as F
 
 from ..operators import tags as T
 
-_OUT = "path string, content binary, changed boolean, error string"
-
 
 def rewrite(files: DataFrame, ops: Column) -> DataFrame:
     """path, content (the new file), changed, error of each file (path, content); ops: operations on the tags, the same or by the files' columns.
 
     A file that can't be parsed or written has null content and an error; one whose tags don't change keeps its bytes.
     """
-    # The bytes travel along with the tags that are read from them, so nothing is shuffled.
-    read = files.select("path", "content", ops.alias("ops")).mapInArrow(_read, f"path string, content binary, ops {T.OPS}, tags {T.TAGS}, error string")
-    new = T.prepare(F.coalesce("tags", T.no_tags()), F.col("ops"))
-    rows = read.select("path", "content", new.alias("new"), "tags", "error").select("path", "content", "new", (~T.equal(F.col("new"), F.col("tags"))).alias("changed"), "error")
-    return rows.mapInArrow(_write, _OUT)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .media import row
-
+    # The bytes stay beside the tags that are read from them, so nothing is shuffled, and only what is read or written anew crosses to Python and back.
+    read = files.select("path", "content", ops.alias("ops"), F.arrow_udf(_read, f"tags {T.TAGS}, error string")(F.col("content")).alias("r"))
+    old = F.coalesce(F.col("r.tags"), T.no_tags())
+    new = read.select("path", "content", F.col("r.error").alias("error"), old.alias("old"), T.prepare(old, F.col("ops")).alias("new"))
+    rows = new.select("path", "content", "error", "new", (~T.equal(F.col("new"), F.col("old"))).alias("changed"))
+    return rows.mapInArrow(_write, "path string, content binary, changed boolean, error string")
+
+
+def _read(content: pa.Array) -> pa.Array:
+    from .containers import parse
+
+    tags, errors = [], []
+    for c in content:
+        try:
+            tags.append(parse(c.as_py() or b"").tags())
+            errors.append(None)
+        except Exception as e:  # any shape of broken bytes
+            tags.append(None)
+            errors.append(str(e) or type(e).__name__)
     kind = pa.list_(pa.struct([("key", pa.string()), ("values", pa.list_(pa.string()))]))
-    for b in batches:
-        found = [row(p, c.as_py()) for p, c in zip(b.column(0).to_pylist(), b.column(1))]
-        errors = [r["error"] and r["error"]["message"] for r in found]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r["tags"] for r in found], kind), pa.array(errors, pa.string())], ["path", "content", "ops", "tags", "error"])
+    return pa.StructArray.from_arrays([pa.array(tags, kind), pa.array(errors, pa.string())], ["tags", "error"])
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,15 +46,14 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("changed", pa.bool_()), ("error", pa.string())])
     for b in batches:
         rows, size = [], 0
-        for i in range(b.num_rows):
-            path, content, new, changed, error = (c[i].as_py() for c in b.columns)
-            out = None
+        for path, content, error, new, changed in zip(*b.columns):
+            error, changed, out = error.as_py(), changed.as_py(), None
             if error is None:
                 try:
-                    out = write(content, {t["key"]: t["values"] for t in new}) if changed else content
+                    out = write(content.as_py(), {t["key"]: t["values"] for t in new.as_py()}) if changed else content.as_py()
                 except Exception as e:  # any shape of broken bytes
                     error = str(e) or type(e).__name__
-            rows.append({"path": path, "content": out, "changed": bool(changed) and out is not None, "error": error})
+            rows.append({"path": path.as_py(), "content": out, "changed": bool(changed) and out is not None, "error": error})
             size += len(out or b"")
             if size > 1 << 25:
                 yield pa.RecordBatch.from_pylist(rows, schema)

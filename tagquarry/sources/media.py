@@ -28,7 +28,7 @@ NAMES = ("path", "size", "format", "container", "tracks", "tags", "pictures", "c
 
 def row(path: str, content: bytes | None) -> dict:
     """One media row. Bytes that can't be parsed give a row with an error, not a failed task."""
-    from .containers import essence, parse
+    from .containers import TooLarge, essence, parse
 
     out = dict.fromkeys(NAMES) | {"path": path, "size": len(content or b"")}
     try:
@@ -39,6 +39,8 @@ def row(path: str, content: bytes | None) -> dict:
             "format": m.format, "container": m.container, "tracks": m.tracks, "tags": m.tags(), "pictures": m.pictures, "chapters": m.chapters, "synced_lyrics": m.lyrics, "families": families,
             "warnings": [{"code": c, "message": x} for c, x in m.warnings], "native": [{"kind": k, "size": n} for k, n in m.native], "essence_ranges": [{"lo": lo, "hi": hi} for lo, hi in m.ranges], "essence": essence(b, m),
         }
+    except TooLarge as e:
+        return out | {"error": {"code": "too-large", "message": str(e)}}
     except ValueError as e:
         return out | {"error": {"code": "unsupported-format", "message": str(e)}}
     except Exception as e:  # any shape of broken bytes
@@ -73,14 +75,29 @@ def parse_media(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def list_files(spark: SparkSession, path: str, max_size: int = 1 << 31) -> DataFrame:
-    """Audio files below a folder by extension, in any case; larger ones are left out. Spark itself passes over names with a leading dot or underscore, and empty files."""
+#: Bytes of a file that Spark's binaryFile takes as one value.
+MAX_SIZE = (1 << 31) - 1
+
+
+def _walk(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS) & (F.col("length") < max_size))
+    return files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS))
+
+
+def list_files(spark: SparkSession, path: str, max_size: int = MAX_SIZE) -> DataFrame:
+    """Audio files below a folder by extension, in any case, up to max_size. Spark itself passes over names with a leading dot or underscore, and empty files."""
+    return _walk(spark, path).where(F.col("length") <= max_size)
 
 
-def read_media(spark: SparkSession, path: str) -> DataFrame:
-    return parse_media(list_files(spark, path))
+def read_media(spark: SparkSession, path: str, max_size: int = MAX_SIZE) -> DataFrame:
+    """A row for each audio file; one beyond max_size is a row with the error `too-large`, its bytes unread."""
+    # Without the content's column the bytes aren't read.
+    large = _walk(spark, path).where(F.col("length") > max_size).select("path", "length")
+    error = F.struct(F.lit("too-large").alias("code"), F.concat(F.col("length").cast("string"), F.lit(f" bytes, of {max_size} at most")).alias("message"))
+    kinds = StructType.fromDDL(SCHEMA)
+    known = {"path": F.col("path"), "size": F.col("length"), "error": error}
+    rows = large.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+    return parse_media(list_files(spark, path, max_size)).unionByName(rows)
 
 
 def inspect(media: DataFrame) -> DataFrame:

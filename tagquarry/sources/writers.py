@@ -10,7 +10,7 @@ import re
 import struct
 
 from ..functions import vocabulary as K
-from .containers import Media, _atoms, _elements, detect, id3_size, parse, syncsafe
+from .containers import Media, _atoms, _elements, cut_string, detect, frame_data, frame_text, id3_size, parse, syncsafe
 
 Segment = bytes | tuple[int, int]
 
@@ -27,7 +27,7 @@ def output_length(segments: list[Segment]) -> int:
 
 
 _DATE = {"RECORDINGDATE": "DATE"}
-_OWN = re.compile(r"CHAPTER\d{3}(NAME|URL)?|METADATA_BLOCK_PICTURE|COVERART")
+_OWN = re.compile(r"CHAPTER\d{3}(NAME|URL)?|METADATA_BLOCK_PICTURE|SYNCEDLYRICS")
 
 
 def comment_list(old: bytes, tags: dict[str, list[str]]) -> bytes:
@@ -140,7 +140,31 @@ _FRAMES = {k: f for f, k in reversed(K.ID3_FRAMES.items())}
 _TXXX = {k: n for n, k in reversed(K.ID3_TXXX.items())}
 _ROLE = {"PRODUCER": "producer", "ENGINEER": "engineer", "MIXER": "mix", "ARRANGER": "arranger", "DJMIXER": "DJ-mix"}
 _DATES = {"RECORDINGDATE": "TDRC", "RELEASEDATE": "TDRL", "ORIGINALDATE": "TDOR"}
-_MODELLED = {*K.ID3_FRAMES, *_DATES.values(), *"COMM USLT UFID TXXX TCON TRCK TPOS TIPL IPLS TYER TDAT TIME TORY".split()}
+_MODELLED = {*K.ID3_FRAMES, *_DATES.values(), *"TXXX TCON TRCK TPOS TIPL IPLS TMCL TYER TDAT TIME TORY".split()}
+_CREDIT = re.compile(r"(.+) \(([^()]+)\)", re.S)
+
+
+def _modelled(name: str, flags: bytes, d: bytes, version: int) -> bool:
+    """Whether the model holds this frame, so that its tags are written in its place."""
+    if frame_data(d, flags[1], version) is None:
+        return False
+    if name == "USLT":
+        return len(d) > 4
+    if name == "COMM":
+        return len(d) > 4 and not cut_string(d[0], d[4:])[0]
+    if name == "UFID":
+        return d.startswith(b"http://musicbrainz.org\0")
+    return name in _MODELLED
+
+
+def _unknown_roles(frames: list[tuple[str, bytes, bytes]]) -> list[str]:
+    """Roles and people of the old credits that no key stands for."""
+    out: list[str] = []
+    for name, _, d in frames:
+        if name in ("TIPL", "IPLS") and d:
+            pairs = frame_text(d[0], d[1:])
+            out += [x for role, who in zip(pairs[::2], pairs[1::2]) if role.strip().lower() not in K.ID3_ROLES for x in (role, who)]
+    return out
 
 
 def _frames(b: bytes) -> list[tuple[str, bytes, bytes]]:
@@ -169,7 +193,8 @@ def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
         s = "\0".join(values)
         out.append((name, none, b"\3" + s.encode() if version == 4 else b"\1" + s.encode("utf-16")))
 
-    roles: list[str] = []
+    frames = _frames(old) if old else []
+    roles, people = _unknown_roles(frames), []
     for key, values in tags.items():
         if not values or key in ("TRACKTOTAL", "DISCTOTAL") and key.replace("TOTAL", "NUMBER") in tags:
             continue
@@ -192,6 +217,10 @@ def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
         elif key in _ROLE:
             for v in values:
                 roles += [_ROLE[key], v]
+        elif key == "PERFORMER" and version == 4:
+            for v in values:
+                m = _CREDIT.fullmatch(v)
+                people += [m[2], m[1]] if m else ["", v]
         elif key in ("COMMENT", "LYRICS"):
             for v in values:
                 enc = (b"\3", b"\0", v.encode()) if version == 4 else (b"\1", b"\xff\xfe\0\0", v.encode("utf-16"))
@@ -202,7 +231,9 @@ def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
             put("TXXX", [_TXXX.get(key, key), *values])
     if roles:
         put("TIPL" if version == 4 else "IPLS", roles)
-    out += [f for f in (_frames(old) if old else []) if f[0] not in _MODELLED]
+    if people:
+        put("TMCL", people)
+    out += [f for f in frames if not _modelled(*f, version)]
     body = b"".join(n.encode("latin-1") + (bytes([len(d) >> 21 & 127, len(d) >> 14 & 127, len(d) >> 7 & 127, len(d) & 127]) if version == 4 else len(d).to_bytes(4, "big")) + fl + d for n, fl, d in out)
     n = len(body) + 64
     if n >= 1 << 28:
@@ -225,7 +256,11 @@ def _write_chunks(b: bytes, tags: dict, big: bool) -> list[Segment]:
         end = min(at + 8 + n + (n & 1), len(b))
         if name in (b"id3 ", b"ID3 "):
             old = b[at + 8 : at + 8 + n]
-        elif not (native and name.decode("latin-1") in native or not big and name == b"LIST" and b[at + 8 : at + 12] == b"INFO"):
+        elif not big and name == b"LIST" and b[at + 8 : at + 12] == b"INFO":
+            kept = b"".join(_info_left(b, at + 12, min(at + 8 + n, len(b))))
+            if kept:
+                out.append(b"LIST" + (len(kept) + 4).to_bytes(4, order) + b"INFO" + kept)
+        elif not (native and name.decode("latin-1") in native):
             out.append((at, end))
             if (end - at) & 1:
                 out.append(b"\0")
@@ -236,6 +271,16 @@ def _write_chunks(b: bytes, tags: dict, big: bool) -> list[Segment]:
     return [b[:4] + output_length(out).to_bytes(4, order), *out]
 
 
+def _info_left(b: bytes, at: int, end: int):
+    """The items of an INFO list that no key stands for, as they are."""
+    while at + 8 <= end:
+        n = int.from_bytes(b[at + 4 : at + 8], "little")
+        if b[at : at + 4].decode("latin-1") not in K.RIFF_INFO:
+            x = b[at : min(at + 8 + n, end)]
+            yield x + b"\0" * (len(x) & 1)
+        at += 8 + n + (n & 1)
+
+
 # MP4
 
 
@@ -382,11 +427,12 @@ def _retitle(b: bytes, at: int, x: int, y: int, kept: list) -> bytes:
 WRITERS = {"FLAC": write_flac, "Ogg": write_ogg, "MP3": write_id3_front, "AAC": write_id3_front, "WAV": lambda b, t: _write_chunks(b, t, False), "AIFF": lambda b, t: _write_chunks(b, t, True), "MP4": write_mp4, "Matroska": write_matroska}
 
 
-def plan(b: bytes, tags: dict[str, list[str]]) -> list[Segment]:
+def plan(b: bytes, tags: dict[str, list[str]], m: Media | None = None) -> list[Segment]:
+    """m: b, parsed, where that has been done."""
     name, _ = detect(b)
     if not name:
         raise ValueError("unsupported format")
-    if not any(hi > lo for lo, hi in parse(b).ranges):
+    if not any(hi > lo for lo, hi in (m or parse(b)).ranges):
         raise ValueError("no audio")
     for k, vs in tags.items():
         if not re.fullmatch(r"[\x20-\x3C\x3E-\x60\x7B-\x7E]+", k):
@@ -398,9 +444,9 @@ def plan(b: bytes, tags: dict[str, list[str]]) -> list[Segment]:
 
 def write(b: bytes, tags: dict[str, list[str]]) -> bytes:
     """The file with these tags. Checked: the new file parses, and its audio is the old one's."""
-    out = join(b, plan(b, tags))
-    m = parse(out)
-    if _audio(out, m) != _audio(b, parse(b)):
+    old = parse(b)
+    out = join(b, plan(b, tags, old))
+    if _audio(out, parse(out)) != _audio(b, old):
         raise ValueError("the audio would change")
     return out
 
