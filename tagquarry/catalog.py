@@ -527,6 +527,30 @@ def edit_preserves(spark, d):
     return m.join(kept, "path")
 
 
+@query(f"""SELECT k || '/' || p_partkey AS path, CASE WHEN k = 'matroska' THEN 0 ELSE 1 + p_size % 3 END::BIGINT AS pictures, CASE WHEN k = 'matroska' THEN NULL ELSE array_to_string(list_transform(range(1 + p_size % 3), lambda i: CASE WHEN k IN ('mp4') THEN '3:' ELSE (3 + i) || ':' || p_brand END), ',') END AS shown,
+CASE WHEN k = 'matroska' THEN NULL WHEN k IN ('flac', 'opus', 'vorbis', 'mp4') THEN '0-0:' || p_name || ',' || p_size || '000-0:' || p_type ELSE '0-' || p_size || '000:' || p_name || ',' || p_size || '000-0:' || p_type END AS chapters,
+CASE WHEN k = 'matroska' THEN NULL WHEN k = 'mp4' THEN '' ELSE '2:' || p_type || '@1500,' || p_brand || '@' || (60000 + p_size) END AS lyrics, CASE WHEN k = 'matroska' THEN 'pictures, chapters and lyrics aren''t written to Matroska' END AS error
+FROM (SELECT *, list_extract({list(_READ)}, CAST(p_partkey % 10 AS INT) + 1) AS k FROM part)""")
+def edit_sets(spark, d):
+    """Pictures, chapters and timed lyrics put in place of a file's own, in each format."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    files = samples.files(spark, d).withColumn("k", F.split("path", "/")[0]).join(p, F.split("path", "/")[1].cast("long") == F.col("p_partkey"))
+    png = F.lit(bytearray(samples.PNG))
+    pictures = F.transform(F.sequence(F.lit(0), F.col("p_size") % 3), lambda i: F.struct((3 + i).cast("int").alias("type"), F.lit("image/png").alias("mime"), F.col("p_brand").alias("description"), png.alias("data")))
+    second = F.col("p_size").cast("long") * 1_000_000_000
+    chapter = lambda start, end, title: F.struct(start.alias("start_ns"), end.alias("end_ns"), F.col(title).alias("title"))
+    zero = F.lit(0).cast("long")
+    line = lambda at, text: F.struct(at.alias("time_ns"), F.col(text).alias("text"))
+    lines = F.array(line(F.lit(1_500_000_000).cast("long"), "p_type"), line(F.lit(60_000_000_000) + F.col("p_size").cast("long") * 1_000_000, "p_brand"))
+    lyrics = F.array(F.struct(F.lit("eng").alias("language"), F.lit("").alias("description"), lines.alias("lines")))
+    new = rewrite(files, F.array().cast(T.OPS), pictures, F.array(chapter(zero, second, "p_name"), chapter(second, zero, "p_type")), F.when(F.col("k") != "mp4", lyrics))
+    m = parse_media(new.where("error IS NULL").select("path", "content"))
+    shown = F.array_join(F.transform("pictures", lambda x: F.concat(x["type"].cast("string"), F.lit(":"), x["description"])), ",")
+    out = _media_line(m).join(m.select("path", shown.alias("shown")), "path").select("path", "pictures", "shown", "chapters", "lyrics", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    return out.unionByName(new.where("error IS NOT NULL").select("path", F.lit(0).cast("long").alias("pictures"), none.alias("shown"), none.alias("chapters"), none.alias("lyrics"), "error"))
+
+
 # Chapters, lyrics
 
 

@@ -104,9 +104,9 @@ def exit_code(findings: Column) -> Column:
     return F.when(w == "error", 4).when(w == "warning", 1).otherwise(0)
 
 
-def safe_fix(tags: Column, fams: Column) -> Column:
+def safe_fix(tags: Column, fams: Column, opaque: Column | None = None) -> Column:
     """What a fix may do by itself: drop transcoder stamps, and strip legacy blocks that hold nothing else."""
     from ..functions.text import is_transcoder_stamp
 
     stamps = F.coalesce(F.exists(T.values_of(tags, "ENCODER"), is_transcoder_stamp), F.lit(False))
-    return F.struct(stamps.alias("drop_encoder"), (F.exists(fams, lambda f: f["legacy"]) & (F.size(T.legacy_only(tags, fams)) == 0)).alias("strip_legacy"))
+    return F.struct(stamps.alias("drop_encoder"), (F.exists(fams, lambda f: f["legacy"]) & (F.size(T.legacy_only(tags, fams)) == 0) & ~(F.lit(False) if opaque is None else opaque)).alias("strip_legacy"))

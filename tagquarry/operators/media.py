@@ -22,6 +22,11 @@ def padding(native: Column) -> Column:
     return F.aggregate(F.filter(native, lambda n: n["kind"] == "PADDING"), F.lit(0).cast("long"), lambda a, n: a + n["size"])
 
 
+def opaque(native: Column) -> Column:
+    """Whether a legacy block holds what no tag stands for."""
+    return F.exists(native, lambda n: n["kind"] == "LEGACY-OPAQUE")
+
+
 def worst_error(code: Column) -> Column:
     """An aggregate: the worst class; of equals the first by name."""
     rank = F.create_map(*(F.lit(x) for i, c in enumerate(ERROR_RANK) for x in (c, i)))

@@ -380,7 +380,9 @@ def ape(b: bytes, end: int) -> tuple[int, list[tuple[str, str]]]:
         if stop < 0 or stop + 1 + n > end - 32:
             break
         key = b[at + 8 : stop].decode("latin-1").upper()
-        if (fl >> 1) & 3 == 0:
+        if (fl >> 1) & 3:
+            out.append(("", key))  # no text
+        else:
             out += [(K.ALIASES.get(key, key), v) for v in b[stop + 1 : stop + 1 + n].decode("utf-8", "replace").split("\0") if v]
         at = stop + 1 + n
     return max(0, start - 32) if flags >> 31 else start, out
@@ -547,7 +549,9 @@ def _tail(m: Media, b: bytes, lo: int) -> int:
             end, going = end - 128, True
         start, items = ape(b, end)
         if start < end and start >= lo:
-            m.legacy += [(k, v, "ape") for k, v in items]
+            m.legacy += [(k, v, "ape") for k, v in items if k]
+            if n := sum(not k for k, _ in items):
+                m.native.append(("LEGACY-OPAQUE", n))
             m.warn("legacy-ape")
             end, going = start, True
     return end

@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 from ..operators import tags as T
 
 
-def rewrite(files: DataFrame, ops: Column) -> DataFrame:
+PICTURES = "array<struct<type:int,mime:string,description:string,data:binary>>"
+CHAPTERS = "array<struct<start_ns:bigint,end_ns:bigint,title:string>>"
+LYRICS = "array<struct<language:string,description:string,lines:array<struct<time_ns:bigint,text:string>>>>"
+
+
+def rewrite(files: DataFrame, ops: Column, pictures: Column | None = None, chapters: Column | None = None, lyrics: Column | None = None, strip: Column | None = None) -> DataFrame:
     """path, content (the new file), changed, error of each file (path, content); ops: operations on the tags, the same or by the files' columns.
 
-    A file that can't be parsed or written has null content and an error; one whose tags don't change keeps its bytes.
+    pictures, chapters, lyrics: what takes the place of the file's own; null keeps them. strip: whether old tags behind the audio go. A file that can't be parsed or written has null content and an error; one whose tags don't change keeps its bytes.
     """
     # The bytes stay beside the tags that are read from them, so nothing is shuffled, and only what is read or written anew crosses to Python and back.
-    read = files.select("path", "content", ops.alias("ops"), F.arrow_udf(_read, f"tags {T.TAGS}, error string")(F.col("content")).alias("r"))
+    given = {"pictures": (pictures, PICTURES), "chapters": (chapters, CHAPTERS), "lyrics": (lyrics, LYRICS), "strip": (strip, "boolean")}
+    sets = [(F.lit(None) if c is None else c).cast(kind).alias(n) for n, (c, kind) in given.items()]
+    read = files.select("path", "content", ops.alias("ops"), *sets, F.arrow_udf(_read, f"tags {T.TAGS}, error string")(F.col("content")).alias("r"))
     old = F.coalesce(F.col("r.tags"), T.no_tags())
-    new = read.select("path", "content", F.col("r.error").alias("error"), old.alias("old"), T.prepare(old, F.col("ops")).alias("new"))
-    rows = new.select("path", "content", "error", "new", (~T.equal(F.col("new"), F.col("old"))).alias("changed"))
+    new = read.select("path", "content", F.col("r.error").alias("error"), old.alias("old"), T.prepare(old, F.col("ops")).alias("new"), *given)
+    more = F.coalesce("strip", F.lit(False)) | F.col("pictures").isNotNull() | F.col("chapters").isNotNull() | F.col("lyrics").isNotNull()
+    rows = new.select("path", "content", "error", "new", (~T.equal(F.col("new"), F.col("old")) | more).alias("changed"), *given)
     return rows.mapInArrow(_write, "path string, content binary, changed boolean, error string")
 
 
@@ -41,16 +49,16 @@ def _read(content: pa.Array) -> pa.Array:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .writers import write
+    from .writers import Sets, write
 
     schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("changed", pa.bool_()), ("error", pa.string())])
     for b in batches:
         rows, size = [], 0
-        for path, content, error, new, changed in zip(*b.columns):
+        for path, content, error, new, changed, *sets, strip in zip(*b.columns):
             error, changed, out = error.as_py(), changed.as_py(), None
             if error is None:
                 try:
-                    out = write(content.as_py(), {t["key"]: t["values"] for t in new.as_py()}) if changed else content.as_py()
+                    out = write(content.as_py(), {t["key"]: t["values"] for t in new.as_py()}, Sets(*(s.as_py() for s in sets)), bool(strip.as_py())) if changed else content.as_py()
                 except Exception as e:  # any shape of broken bytes
                     error = str(e) or type(e).__name__
             rows.append({"path": path.as_py(), "content": out, "changed": bool(changed) and out is not None, "error": error})

@@ -6,15 +6,32 @@ frames) is copied too. `write` raises ValueError where a file can't be written.
 
 from __future__ import annotations
 
+import base64
 import re
 import struct
+from dataclasses import dataclass
 
 from ..functions import vocabulary as K
-from .containers import Media, _atoms, _elements, cut_string, detect, frame_data, frame_text, id3_size, parse, syncsafe
+from .containers import Media, _atoms, _elements, cut_string, detect, frame_data, frame_text, id3_size, parse, sniff_image, syncsafe
 
 Segment = bytes | tuple[int, int]
 
 
+@dataclass
+class Sets:
+    """What takes the place of a file's pictures (type, mime, description, data), chapters (start_ns, end_ns, title) and timed lyrics (language, description, lines of time_ns, text); None keeps the old ones."""
+
+    pictures: list[dict] | None = None
+    chapters: list[dict] | None = None
+    lyrics: list[dict] | None = None
+
+    def any(self) -> bool:
+        return not self.pictures is self.chapters is self.lyrics is None
+
+
+KEEP = Sets()
+
+
 def join(b: bytes, segments: list[Segment]) -> bytes:
     return b"".join(s if isinstance(s, bytes) else b[s[0] : s[1]] for s in segments)
 
@@ -30,8 +47,33 @@ _DATE = {"RECORDINGDATE": "DATE"}
 _OWN = re.compile(r"CHAPTER\d{3}(NAME|URL)?|METADATA_BLOCK_PICTURE|SYNCEDLYRICS")
 
 
-def comment_list(old: bytes, tags: dict[str, list[str]]) -> bytes:
-    """A comment list with the old one's vendor and reserved entries, and the tags."""
+def _clock(ns: int) -> str:
+    ms = ns // 1_000_000
+    return f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}"
+
+
+def lrc_text(lines: list[dict]) -> str:
+    return "\n".join(f"[{x['time_ns'] // 60_000_000_000:02d}:{x['time_ns'] // 1_000_000_000 % 60:02d}.{x['time_ns'] // 1_000_000 % 1000:03d}]{x['text']}" for x in lines)
+
+
+def picture_block(p: dict) -> bytes:
+    mime, desc, data = (p["mime"] or "").encode("latin-1", "replace"), (p["description"] or "").encode(), bytes(p["data"])
+    _, w, h, depth = sniff_image(data)
+    return struct.pack(">II", p["type"], len(mime)) + mime + struct.pack(">I", len(desc)) + desc + struct.pack(">IIIII", w, h, depth, 0, len(data)) + data
+
+
+def _set_comments(sets: Sets) -> list[str]:
+    if len(sets.chapters or ()) > 999:
+        raise ValueError("more than 999 chapters")
+    out = []
+    for i, c in enumerate(sets.chapters or (), 1):
+        out += [f"CHAPTER{i:03d}={_clock(c['start_ns'])}", f"CHAPTER{i:03d}NAME={c['title'] or ''}"]
+    return out + [f"SYNCEDLYRICS={lrc_text(y['lines'])}" for y in sets.lyrics or ()]
+
+
+def comment_list(old: bytes, tags: dict[str, list[str]], sets: Sets = KEEP, blocks: bool = True) -> bytes:
+    """A comment list with the old one's vendor and reserved entries, the tags, and new sets; blocks: pictures have blocks of their own."""
+    gone = [n for n, new in (("CHAPTER", sets.chapters), ("METADATA", sets.pictures), ("SYNCED", sets.lyrics)) if new is not None]
     n = int.from_bytes(old[:4], "little") if len(old) >= 4 else 0
     vendor, at = old[4 : 4 + n], 4 + n
     kept = []
@@ -40,13 +82,16 @@ def comment_list(old: bytes, tags: dict[str, list[str]]) -> bytes:
         size = int.from_bytes(old[at : at + 4], "little")
         x = old[at + 4 : at + 4 + size]
         at += size
-        if _OWN.fullmatch(x.partition(b"=")[0].decode("latin-1").upper()):
+        name = x.partition(b"=")[0].decode("latin-1").upper()
+        if _OWN.fullmatch(name) and not any(name.startswith(g) for g in gone):
             kept.append(x)
+    kept += [x.encode() for x in _set_comments(sets)]
+    kept += [b"METADATA_BLOCK_PICTURE=" + base64.b64encode(picture_block(p)) for p in sets.pictures or () if not blocks]
     kept += [f"{_DATE.get(k, k)}={v}".encode() for k, vs in tags.items() for v in vs]
     return struct.pack("<I", len(vendor)) + vendor + struct.pack("<I", len(kept)) + b"".join(struct.pack("<I", len(x)) + x for x in kept)
 
 
-def write_flac(b: bytes, tags: dict) -> list[Segment]:
+def write_flac(b: bytes, tags: dict, sets: Sets = KEEP) -> list[Segment]:
     at = detect(b)[1] + 4
     blocks: list[tuple[int, Segment]] = []
     old, last = b"", False
@@ -54,13 +99,14 @@ def write_flac(b: bytes, tags: dict) -> list[Segment]:
         kind, n, last = b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big"), bool(b[at] & 128)
         if kind == 4:
             old = old or b[at + 4 : at + 4 + n]
-        else:
+        elif kind != 6 or sets.pictures is None:
             blocks.append((kind, (at + 4, min(at + 4 + n, len(b)))))
         at += 4 + n
-    new = comment_list(old, tags)
-    if len(new) >= 1 << 24:
-        raise ValueError("comments beyond a block's size")
-    blocks.insert(1, (4, new))
+    new = comment_list(old, tags, sets)
+    added = [(4, new), *((6, picture_block(p)) for p in sets.pictures or ())]
+    if any(len(d) >= 1 << 24 for _, d in added):
+        raise ValueError("comments or a picture beyond a block's size")
+    blocks[1:1] = added
     out: list[Segment] = [(0, detect(b)[1] + 4)]
     for i, (kind, d) in enumerate(blocks):
         out += [bytes([kind | (128 if i == len(blocks) - 1 else 0)]) + output_length([d]).to_bytes(3, "big"), d]
@@ -89,7 +135,7 @@ def _page(body: bytes, lace: bytes, granule: int, flags: int, serial: bytes, seq
     return p[:22] + struct.pack("<I", ogg_crc(p)) + p[26:]
 
 
-def write_ogg(b: bytes, tags: dict) -> list[Segment]:
+def write_ogg(b: bytes, tags: dict, sets: Sets = KEEP) -> list[Segment]:
     """The header packets are paged anew; audio pages keep their bodies, with new numbers and checksums."""
     pages, at = [], 0
     while at + 27 <= len(b) and b[at : at + 4] == b"OggS":
@@ -116,7 +162,7 @@ def write_ogg(b: bytes, tags: dict) -> list[Segment]:
         raise ValueError("header packets share a page with audio")
     head = 8 if want == 2 else 7
     c = packets[1]
-    packets[1] = c[:head] + comment_list(c[head:], tags) + (b"" if want == 2 else b"\1")
+    packets[1] = c[:head] + comment_list(c[head:], tags, sets, False) + (b"" if want == 2 else b"\1")
     out: list[Segment] = [_page(packets[0], bytes([255] * (len(packets[0]) // 255) + [len(packets[0]) % 255]), 0, 2, serial, 0)]
     data = b"".join(packets[1:])
     lacing = b"".join(bytes([255] * (len(p) // 255) + [len(p) % 255]) for p in packets[1:])
@@ -183,7 +229,34 @@ def _frames(b: bytes) -> list[tuple[str, bytes, bytes]]:
     return out
 
 
-def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
+def _set_frames(sets: Sets, version: int) -> list[tuple[str, bytes]]:
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) if version == 4 else n.to_bytes(4, "big")
+    enc, end = (b"\3", b"\0") if version == 4 else (b"\1", b"\0\0")
+    say = lambda s: (s or "").encode("utf-8" if version == 4 else "utf-16")
+    out = [("APIC", enc + (p["mime"] or "").encode("latin-1", "replace") + b"\0" + bytes([p["type"]]) + say(p["description"]) + end + bytes(p["data"])) for p in sets.pictures or ()]
+    ids = []
+    for i, c in enumerate(sets.chapters or ()):
+        start, stop = c["start_ns"] // 1_000_000, (c["end_ns"] or 0) // 1_000_000 or 0xFFFFFFFF
+        if max(start + 1, stop) > 0xFFFFFFFF:
+            raise ValueError("a chapter beyond ID3's time")
+        title = enc + say(c["title"])
+        ids.append(b"ch%d" % i)
+        out.append(("CHAP", ids[-1] + b"\0" + struct.pack(">IIII", start, stop, 0xFFFFFFFF, 0xFFFFFFFF) + b"TIT2" + size(len(title)) + b"\0\0" + title))
+    if ids:
+        if len(ids) > 255:
+            raise ValueError("more than 255 chapters")
+        out.insert(len(out) - len(ids), ("CTOC", b"toc\0" + bytes([3, len(ids)]) + b"".join(i + b"\0" for i in ids)))
+    for y in sets.lyrics or ():
+        lines = b"".join(say(x["text"]) + end + struct.pack(">I", x["time_ns"] // 1_000_000) for x in y["lines"])
+        out.append(("SYLT", enc + (y["language"] or "XXX").encode("latin-1", "replace")[:3].ljust(3) + b"\2\1" + say(y["description"]) + end + lines))
+    return out
+
+
+def _replaced(name: str, d: bytes, sets: Sets) -> bool:
+    return name == "APIC" and sets.pictures is not None or name in ("CHAP", "CTOC") and sets.chapters is not None or name == "SYLT" and sets.lyrics is not None and d[4:6] == b"\2\1"
+
+
+def id3_tag(old: bytes, tags: dict[str, list[str]], sets: Sets = KEEP) -> bytes:
     """A tag of the old one's version (2.4 where there is none), its frames that the model doesn't hold, and the tags."""
     version = 3 if old[3:4] == b"\3" else 4
     out: list[tuple[str, bytes, bytes]] = []
@@ -233,7 +306,8 @@ def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
         put("TIPL" if version == 4 else "IPLS", roles)
     if people:
         put("TMCL", people)
-    out += [f for f in frames if not _modelled(*f, version)]
+    out += [(n, none, d) for n, d in _set_frames(sets, version)]
+    out += [f for f in frames if not _modelled(*f, version) and not _replaced(f[0], f[2], sets)]
     body = b"".join(n.encode("latin-1") + (bytes([len(d) >> 21 & 127, len(d) >> 14 & 127, len(d) >> 7 & 127, len(d) & 127]) if version == 4 else len(d).to_bytes(4, "big")) + fl + d for n, fl, d in out)
     n = len(body) + 64
     if n >= 1 << 28:
@@ -241,12 +315,12 @@ def id3_tag(old: bytes, tags: dict[str, list[str]]) -> bytes:
     return b"ID3" + bytes([version, 0, 0, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + body + b"\0" * 64
 
 
-def write_id3_front(b: bytes, tags: dict) -> list[Segment]:
+def write_id3_front(b: bytes, tags: dict, sets: Sets = KEEP) -> list[Segment]:
     n = min(id3_size(b), len(b))
-    return [*([id3_tag(b[:n], tags)] if tags or n else []), (n, len(b))]
+    return [*([id3_tag(b[:n], tags, sets)] if tags or n or sets.any() else []), (n, len(b))]
 
 
-def _write_chunks(b: bytes, tags: dict, big: bool) -> list[Segment]:
+def _write_chunks(b: bytes, tags: dict, big: bool, sets: Sets = KEEP) -> list[Segment]:
     order = "big" if big else "little"
     out: list[Segment] = [(8, 12)]
     at, old = 12, b""
@@ -265,8 +339,8 @@ def _write_chunks(b: bytes, tags: dict, big: bool) -> list[Segment]:
             if (end - at) & 1:
                 out.append(b"\0")
         at = at + 8 + n + (n & 1)
-    if tags or old:
-        new = id3_tag(old, tags)
+    if tags or old or sets.any():
+        new = id3_tag(old, tags, sets)
         out.append((b"ID3 " if big else b"id3 ") + len(new).to_bytes(4, order) + new + b"\0" * (len(new) & 1))
     return [b[:4] + output_length(out).to_bytes(4, order), *out]
 
@@ -293,7 +367,7 @@ def _atom(name: bytes, *parts: bytes) -> bytes:
     return struct.pack(">I", 8 + len(body)) + name + body
 
 
-def _items(old: bytes, tags: dict[str, list[str]]) -> bytes:
+def _items(old: bytes, tags: dict[str, list[str]], sets: Sets = KEEP) -> bytes:
     data = lambda kind, d: _atom(b"data", struct.pack(">II", kind, 0), d)
     num = lambda k: int(v) if (v := (tags.get(k) or ["0"])[0].strip()).lstrip("+").isdigit() else 0
     out = []
@@ -313,20 +387,42 @@ def _items(old: bytes, tags: dict[str, list[str]]) -> bytes:
         elif values:
             out.append(_atom(b"----", _atom(b"mean", b"\0\0\0\0com.apple.iTunes"), _atom(b"name", b"\0\0\0\0" + _FREE.get(key, key).encode()), *(data(1, v.encode()) for v in values)))
     known = {b"trkn", b"disk", b"cpil", b"stik", b"gnre", b"----", *(n.encode("latin-1") for n in K.MP4_TEXT)}
+    if sets.pictures is not None:
+        known.add(b"covr")
+        kinds = {"image/jpeg": 13, "image/png": 14, "image/bmp": 27}
+        covers = [(kinds.get(sniff_image(bytes(p["data"]))[0]), bytes(p["data"])) for p in sets.pictures]
+        if any(k is None for k, _ in covers):
+            raise ValueError("a picture of a kind that MP4 doesn't take")
+        out += [_atom(b"covr", *(data(k, d) for k, d in covers))] if covers else []
     kept = [_atom(a, old[x:y]) for a, x, y in _atoms(old, 0, len(old)) if a not in known]
     return _atom(b"ilst", *out, *kept)
 
 
-def write_mp4(b: bytes, tags: dict) -> list[Segment]:
-    """moov is built anew with the item list; where that moves the audio, its offset tables are moved along."""
+def _chpl(chapters: list[dict]) -> bytes:
+    if len(chapters) > 255:
+        raise ValueError("more than 255 chapters")
+    titles = [(c["title"] or "").encode()[:255].decode("utf-8", "ignore").encode() for c in chapters]
+    return _atom(b"chpl", b"\1\0\0\0\0\0\0\0", bytes([len(chapters)]), *(struct.pack(">QB", c["start_ns"] // 100, len(t)) + t for c, t in zip(chapters, titles))) if chapters else b""
+
+
+def write_mp4(b: bytes, tags: dict, sets: Sets = KEEP) -> list[Segment]:
+    """moov is built anew with the item list; where that moves the audio, its offset tables are moved along. Files with offsets elsewhere (fragments, iloc, saio) are refused."""
+    if sets.lyrics is not None:
+        raise ValueError("timed lyrics aren't written to MP4")
     top = list(_atoms(b, 0, len(b)))
-    if any(a in (b"moof", b"mvex") for a, _, _ in top):
-        raise ValueError("fragmented")
+
+    def offsets(lo: int, hi: int, depth: int) -> bool:
+        return any(a in (b"moof", b"mvex", b"iloc", b"saio") or depth < 8 and a in (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta") and offsets(x, y, depth + 1) for a, x, y in _atoms(b, lo, hi))
+
+    if offsets(0, len(b), 0) or any(a == b"meta" and b"iloc" in b[x:y] for a, x, y in top):
+        raise ValueError("fragmented, or with offsets that can't be moved")
 
     def rebuild(lo: int, hi: int, path: tuple, shift: int) -> bytes:
         parts, done = [], False
         for a, x, y in _atoms(b, lo, hi):
             body = b[x:y]
+            if a == b"chpl" and path == (b"moov", b"udta") and sets.chapters is not None:
+                continue
             if a in (b"trak", b"mdia", b"minf", b"stbl") or path == (b"moov",) and a == b"udta":
                 body = rebuild(x, y, (*path, a), shift)
                 done |= a == b"udta"
@@ -335,7 +431,7 @@ def write_mp4(b: bytes, tags: dict) -> list[Segment]:
                 body = body[:head] + rebuild(x + head, y, (*path, a), shift)
                 done = True
             elif a == b"ilst" and path == (b"moov", b"udta", b"meta"):
-                parts.append(_items(body, tags))
+                parts.append(_items(body, tags, sets))
                 done = True
                 continue
             elif a in (b"stco", b"co64") and shift:
@@ -343,13 +439,15 @@ def write_mp4(b: bytes, tags: dict) -> list[Segment]:
                 n = int.from_bytes(body[4:8], "big")
                 body = body[:8] + b"".join((int.from_bytes(body[8 + w * i : 8 + w * i + w], "big") + shift).to_bytes(w, "big") for i in range(min(n, (len(body) - 8) // w))) + body[8 + w * n :]
             parts.append(_atom(a, body))
+        if path == (b"moov", b"udta") and sets.chapters:
+            parts.append(_chpl(sets.chapters))
         hdlr = _atom(b"hdlr", b"\0" * 8 + b"mdirappl" + b"\0" * 9)
         if not done and path == (b"moov",):
-            parts.append(_atom(b"udta", _atom(b"meta", b"\0\0\0\0", hdlr, _items(b"", tags))))
+            parts.append(_atom(b"udta", _chpl(sets.chapters or []), _atom(b"meta", b"\0\0\0\0", hdlr, _items(b"", tags, sets))))
         elif not done and path == (b"moov", b"udta"):
-            parts.append(_atom(b"meta", b"\0\0\0\0", hdlr, _items(b"", tags)))
+            parts.append(_atom(b"meta", b"\0\0\0\0", hdlr, _items(b"", tags, sets)))
         elif not done and path == (b"moov", b"udta", b"meta"):
-            parts.append(_items(b"", tags))
+            parts.append(_items(b"", tags, sets))
         return b"".join(parts)
 
     moov = next((i for i, (a, _, _) in enumerate(top) if a == b"moov"), None)
@@ -375,8 +473,10 @@ def _element(ident: int, data: bytes) -> bytes:
     return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + (1 << 56 | len(data)).to_bytes(8, "big") + data
 
 
-def write_matroska(b: bytes, tags: dict) -> list[Segment]:
+def write_matroska(b: bytes, tags: dict, sets: Sets = KEEP) -> list[Segment]:
     """Old tags become a void of their size, so nothing moves; the new ones come last in the segment."""
+    if sets.any():
+        raise ValueError("pictures, chapters and lyrics aren't written to Matroska")
     segment = next(((x, y) for i, x, y in _elements(b, 0, len(b)) if i == 0x18538067), None)
     if segment is None:
         raise ValueError("no segment")
@@ -424,11 +524,11 @@ def _retitle(b: bytes, at: int, x: int, y: int, kept: list) -> bytes:
     return b[at:x] + body + void + b"\0" * (gap - len(void))
 
 
-WRITERS = {"FLAC": write_flac, "Ogg": write_ogg, "MP3": write_id3_front, "AAC": write_id3_front, "WAV": lambda b, t: _write_chunks(b, t, False), "AIFF": lambda b, t: _write_chunks(b, t, True), "MP4": write_mp4, "Matroska": write_matroska}
+WRITERS = {"FLAC": write_flac, "Ogg": write_ogg, "MP3": write_id3_front, "AAC": write_id3_front, "WAV": lambda b, t, s: _write_chunks(b, t, False, s), "AIFF": lambda b, t, s: _write_chunks(b, t, True, s), "MP4": write_mp4, "Matroska": write_matroska}
 
 
-def plan(b: bytes, tags: dict[str, list[str]], m: Media | None = None) -> list[Segment]:
-    """m: b, parsed, where that has been done."""
+def plan(b: bytes, tags: dict[str, list[str]], m: Media | None = None, sets: Sets = KEEP, strip: bool = False) -> list[Segment]:
+    """m: b, parsed, where that has been done; strip: old tags behind the audio go."""
     name, _ = detect(b)
     if not name:
         raise ValueError("unsupported format")
@@ -439,13 +539,22 @@ def plan(b: bytes, tags: dict[str, list[str]], m: Media | None = None) -> list[S
             raise ValueError(f"invalid key: {k!r}")
         if any("\0" in v for v in vs):
             raise ValueError(f"NUL in {k}")
-    return WRITERS[name](b, {k: v for k, v in tags.items() if v})
+    if any(not 0 <= p["type"] <= 20 or not p["data"] for p in sets.pictures or ()):
+        raise ValueError("a picture without a known role, or without data")
+    if len([p for p in sets.pictures or () if p["type"] == 1]) > 1 or len([p for p in sets.pictures or () if p["type"] == 2]) > 1:
+        raise ValueError("several icons of one role")
+    if any(c["start_ns"] < 0 or c["end_ns"] and c["end_ns"] < c["start_ns"] for c in sets.chapters or ()):
+        raise ValueError("a chapter that ends before it starts")
+    out = WRITERS[name](b, {k: v for k, v in tags.items() if v}, sets)
+    if strip and name in ("MP3", "AAC", "FLAC") and isinstance(out[-1], tuple):
+        out[-1] = (out[-1][0], max(out[-1][0], (m or parse(b)).ranges[-1][1]))
+    return out
 
 
-def write(b: bytes, tags: dict[str, list[str]]) -> bytes:
+def write(b: bytes, tags: dict[str, list[str]], sets: Sets = KEEP, strip: bool = False) -> bytes:
     """The file with these tags. Checked: the new file parses, and its audio is the old one's."""
     old = parse(b)
-    out = join(b, plan(b, tags, old))
+    out = join(b, plan(b, tags, old, sets, strip))
     if _audio(out, parse(out)) != _audio(b, old):
         raise ValueError("the audio would change")
     return out

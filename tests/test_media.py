@@ -1,5 +1,7 @@
 """Operators over media rows, display functions and commands."""
 
+import zlib
+
 import builders as B
 from pyspark.sql import functions as F
 
@@ -58,3 +60,42 @@ def test_sets(spark, tmp_path):
     got = lambda to: {r.dimension: (r.carried, r.lossy, r.dropped) for r in grade_sets(m, F.lit(to), "path").collect()}
     assert got("MP4") == {"pictures": (1, 1, 1), "chapters": (1, 0, 0), "lyrics": (0, 0, 0)}
     assert got("WebM")["pictures"] == (0, 0, 3) and got("FLAC")["pictures"] == (3, 0, 0) and got("Matroska")["pictures"] == (2, 1, 0)
+
+
+def test_plan_copy_and_fix(spark, tmp_path, capsys):
+    from tagquarry.sources.containers import parse
+
+    a, b, out = tmp_path / "a", tmp_path / "b", tmp_path / "out"
+    a.mkdir()
+    b.mkdir()
+    (a / "x.flac").write_bytes(B.flac([("TITLE", "x"), ("ARTIST", "A"), ("ENCODER", "Lavf58")]))
+    (b / "x.mp3").write_bytes(B.id3(B.text("TIT2", "old"), B.text("TALB", "L")) + B.mpeg() + B.id3v1("old", 255, 0))
+    tags = lambda p: {t["key"]: t["values"] for t in parse(p.read_bytes()).tags()}
+    assert main(["plan", str(a), "--set", "TITLE=y", "--clear", "ARTIST"]) == 0
+    assert sorted(x.split("\t")[1] for x in capsys.readouterr().out.splitlines()) == ["- ARTIST: A", "~ TITLE: x -> y"] and tags(a / "x.flac")["TITLE"] == ["x"]
+    assert main(["copy", str(a), str(b), str(out)]) == 0
+    assert {k: v for k, v in tags(out / "x.mp3").items() if k != "ENCODER"} == {"TITLE": ["x"], "ARTIST": ["A"], "ALBUM": ["L"]}
+    assert main(["lint", str(a), "--fix", str(out)]) == 0 and "ENCODER" not in tags(out / "x.flac") and tags(out / "x.flac")["ARTIST"] == ["A"]
+
+
+def test_files_beyond_the_limits_are_rows(spark, tmp_path):
+    (tmp_path / "big.flac").write_bytes(B.flac(padding=5000))
+    (tmp_path / "many.wav").write_bytes(B.wav()[:12] + B.chunk(b"junk", b"") * 100_001)
+    rows = {r.path.rsplit("/")[-1]: r for r in media.read_media(spark, str(tmp_path), max_size=1 << 20).collect()}
+    assert rows["many.wav"].error.code == "too-large" and rows["big.flac"].error is None
+    rows = {r.path.rsplit("/")[-1]: r for r in media.read_media(spark, str(tmp_path), max_size=2000).collect()}
+    assert rows["big.flac"].error.code == "too-large" and rows["big.flac"].size > 5000 and len(rows) == 2
+
+
+def test_frames_and_lyrics():
+    from tagquarry.sources.containers import lrc, parse
+
+    zipped = b"\0\0\0\7" + zlib.compress(b"\3packed")
+    packed = b"TIT2" + B.safe(len(zipped)) + bytes([0, 9]) + zipped
+    secret = b"TPE1" + B.safe(6) + bytes([0, 4]) + b"\0\3abcd"
+    m = parse(B.id3(packed, secret) + B.mpeg())
+    assert m.tags() == [{"key": "TITLE", "values": ["packed"]}] and ("tag-structure-dropped", "TPE1") in m.warnings
+    assert lrc("[offset:-500]\n[00:01.5][00:00.25]a\nno stamp\n[01:00] b") == [{"time_ns": 750_000_000, "text": "a"}, {"time_ns": 2_000_000_000, "text": "a"}, {"time_ns": 60_500_000_000, "text": "b"}]
+    many = B.flac([("SYNCEDLYRICS", "\n".join(["[00:00.00]x"] * 65_537))])
+    m = parse(many)
+    assert ("synced-lyrics-truncated", "65537") in m.warnings and len(m.lyrics[0]["lines"]) == 65_536
