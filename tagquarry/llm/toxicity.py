@@ -114,12 +114,17 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(sets, pa.binary())], ["k0", "k1", "k2", "set"])
 
 
+def _tally(places: bytes, width: int) -> np.ndarray:
+    return np.bincount(np.frombuffer(places, "<i4"), minlength=width)
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # One place more for the number of texts.
     n = np.zeros(BUCKETS + 1, np.int64)
     for b in batches:
         n[-1] += b.num_rows
-        n[:-1] += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=BUCKETS)
+        for lo in range(0, b.num_rows, 200):
+            n[:-1] += _tally(b"".join(b.column(0).slice(lo, 200).to_pylist()), BUCKETS)
     seen = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], ["bucket", "n"])
 
@@ -154,19 +159,34 @@ def _sets(chosen: np.ndarray):
     return run
 
 
-def _sum_sets(width: int):
-    """How many of the sets hold each place, counted within the task, and how many sets there are."""
+def _count(wanted: np.ndarray):
+    """How many of the texts hold each of the wanted features, counted within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 1, np.int64)
+        n = len(wanted)
+        place, total = np.full(BUCKETS, -1, np.int32), np.zeros(n, np.int64)
+        place[wanted] = np.arange(n)
         for b in batches:
-            total[-1] += b.num_rows
-            total[:-1] += np.bincount(np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4"), minlength=width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(total)], ["at", "n"])
+            texts = b.column(0).to_pylist()
+            for lo, hi in chunks(texts):
+                at, doc = features(texts[lo:hi])
+                at = place[at]
+                hit = at >= 0
+                key = np.sort(doc[hit] * n + at[hit])
+                if len(key):
+                    total += np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % n, minlength=n)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["at", "n"])
 
     return run
 
 
+def _ratio(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Twice the log-likelihood ratio of a Poisson rate of its own against that of all documents; 0 where it isn't higher."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(seen > expected, 2 * (np.where(seen, seen * np.log(seen / expected), 0) - seen + expected), 0)
+
+
 def select(docs: DataFrame, confirmed: DataFrame, prior: float) -> np.ndarray:
     """The features that the model weighs, ascending; confirmed as _evidence has them."""
     kp = _counts(confirmed)
@@ -174,18 +194,18 @@ def select(docs: DataFrame, confirmed: DataFrame, prior: float) -> np.ndarray:
     for k in ("k0", "k1", "k2"):
         unlike = unlike.groupBy(k).agg(F.min(F.struct("k0", "k1", "k2", "set")).alias("_row")).select("_row.*")
     seen = _counts(unlike)
-    at = np.flatnonzero(kp[:-1])
+    at, n_u = np.flatnonzero(kp[:-1]), docs.count()
+    least = least_ratio(len(at))
+    # A feature is in as many documents as in confirmed ones at least; those that can't be significant even so aren't counted.
+    at = at[_ratio(seen[at], seen[-1] * (kp[at] / max(n_u, 1))) >= least]
     if not len(at):
         return at
-    counted = docs.select("doc_id", "text").mapInArrow(_sets(at), "doc_id long, set binary").mapInArrow(_sum_sets(len(at)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()["n"].to_numpy()
-    ku, n_u = counted[:-1], counted[-1]
-    expected = seen[-1] * (ku / n_u)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # Twice the log-likelihood ratio of a Poisson rate of its own against that of all documents.
-        g = 2 * (np.where(seen[at], seen[at] * np.log(seen[at] / expected), 0) - seen[at] + expected)
+    t = docs.select("text").mapInArrow(_count(at), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    ku = np.zeros(len(at), np.int64)
+    ku[t["at"].to_numpy()] = t["n"].to_numpy()
     # As U holds its share of positives, a feature of toxic texts only has prior * share_p = share_u.
     fits = 2 * prior * (kp[at] / kp[-1]) >= ku / n_u
-    return at[fits & (seen[at] > expected) & (g >= least_ratio(len(at)))]
+    return at[fits & (_ratio(seen[at], seen[-1] * (ku / n_u)) >= least)]
 
 
 def least_ratio(tested: int) -> float:
