@@ -43,7 +43,7 @@ _POW: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse, modulo 2**64."""
     if not _POW or len(_POW["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         p = np.full(m, BASE, np.uint64)
         q = np.full(m, pow(BASE, -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
@@ -87,7 +87,7 @@ def tokenise(texts: list[str | None]) -> Tokens:
     return Tokens(t["low"][raw], t["case"][raw], cls[start], start, end, doc, len(texts))
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Slices of at most about so many characters, whole texts only, so that memory doesn't follow the batch size."""
     at = size = 0
     for i, x in enumerate(texts):
