@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .vocabulary import ALIASES, KEYS
 
 
+#: The white space that `utrim` takes, for code outside Catalyst.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -5,7 +5,8 @@ Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+if TYPE_CHECKING:
+    from .containers import Media
+
 EXTENSIONS = ("flac", "mp3", "m4a", "m4b", "mp4", "wav", "wave", "aiff", "aif", "aifc", "aac", "ogg", "oga", "opus", "mka", "mkv", "webm")
 SCHEMA = (
     "path string, size long, format string, container string, "
@@ -26,15 +30,15 @@ SCHEMA = (
 NAMES = ("path", "size", "format", "container", "tracks", "tags", "pictures", "chapters", "synced_lyrics", "families", "warnings", "native", "essence_ranges", "essence", "error")
 
 
-def row(path: str, content: bytes | None) -> dict:
-    """One media row. Bytes that can't be parsed give a row with an error, not a failed task."""
+def row(path: str, content: bytes | None, m: Media | None = None, only: Iterable[str] = NAMES) -> dict:
+    """One media row; m: the content, parsed, where that has been done; only: the columns that are asked for, families and their warnings are left out where neither is. Bytes that can't be parsed give a row with an error, not a failed task."""
     from .containers import TooLarge, essence, parse
 
     out = dict.fromkeys(NAMES) | {"path": path, "size": len(content or b"")}
     try:
         b = content or b""
-        m = parse(b)
-        families = m.families()
+        m = m or parse(b)
+        families = m.families() if "families" in only or "warnings" in only else []
         return out | {
             "format": m.format, "container": m.container, "tracks": m.tracks, "tags": m.tags(), "pictures": m.pictures, "chapters": m.chapters, "synced_lyrics": m.lyrics, "families": families,
             "warnings": [{"code": c, "message": x} for c, x in m.warnings], "native": [{"kind": k, "size": n} for k, n in m.native], "essence_ranges": [{"lo": lo, "hi": hi} for lo, hi in m.ranges], "essence": essence(b, m),
@@ -47,6 +51,42 @@ def row(path: str, content: bytes | None) -> dict:
         return out | {"error": {"code": "malformed", "message": f"{type(e).__name__}: {e}"}}
 
 
+#: Rows and bytes of one Arrow batch that Python sends.
+PIECE_ROWS, PIECE_BYTES = 1000, 1 << 22
+
+
+def pieces(items: Iterable, size: Callable) -> Iterator[list]:
+    """Lists of at most PIECE_ROWS items; one that holds PIECE_BYTES takes no more."""
+    out, n = [], 0
+    for x in items:
+        out.append(x)
+        n += size(x)
+        if len(out) == PIECE_ROWS or n >= PIECE_BYTES:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterable[dict]], ddl: str) -> DataFrame:
+    """Media rows, with whatever columns of their own they have, that `rows` makes of df's batches; only the columns that ddl names are turned into Arrow."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(rows(batches), lambda r: r["size"]):
+            if "tracks" in schema.names:
+                piece = [_decimal(r) for r in piece]
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in piece], f.type) for f in schema], schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def columns_ddl(columns: Iterable[str]) -> str:
+    """Those columns of SCHEMA."""
+    kinds = StructType.fromDDL(SCHEMA)
+    return ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in columns)
+
+
 def _decimal(r: dict) -> dict:
     from decimal import Decimal
 
@@ -57,22 +97,7 @@ def _decimal(r: dict) -> dict:
 
 def parse_media(files: DataFrame) -> DataFrame:
     """Rows of path, content to media rows; further columns are left out. A null content is an empty file, which no format takes."""
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, size = [], 0
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                c = content.as_py()
-                rows.append(_decimal(row(path, c)))
-                size += len(c or b"")
-                if size > 1 << 25:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return map_rows(files.select("path", "content"), lambda bs: (row(path, content.as_py()) for b in bs for path, content in zip(b.column(0).to_pylist(), b.column(1))), SCHEMA)
 
 
 #: Bytes of a file that Spark's binaryFile takes as one value.
