@@ -101,6 +101,6 @@ def canonical_codec(raw: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """B, KiB, MiB, GiB with one decimal."""
-    unit = lambda k, name: F.format_string("%.1f " + name, n / float(1 << k))
+    """B, KiB, MiB, GiB with one decimal; a tie goes to the even digit, which the JVM's own format doesn't do."""
+    unit = lambda k, name: F.format_string("%.1f " + name, F.bround(n / float(1 << k), 1))
     return F.when(n < 1 << 10, F.format_string("%d B", n)).when(n < 1 << 20, unit(10, "KiB")).when(n < 1 << 30, unit(20, "MiB")).otherwise(unit(30, "GiB"))

@@ -57,3 +57,10 @@ def test_an_outcome_that_was_checked_is_the_one_that_is_read():
         e = edit.edited(b, [("set", "TITLE", ["new"])])
         assert e.changed and media.row("x", e.content, e.media) == media.row("x", e.content)
     assert edit.edited(b"junk", []).error and edit.edited(None, []).content is None
+
+
+def test_sizes_at_a_tie_go_to_the_even_digit(spark):
+    """As C, Go and DuckDB print them."""
+    sizes = [1280, 1331, 1408, 1536, 2432, 5 << 18, 1023]
+    rows = spark.createDataFrame([(x,) for x in sizes], "n long").select(X.human_bytes(F.col("n"))).collect()
+    assert [r[0] for r in rows] == ["1.2 KiB", "1.3 KiB", "1.4 KiB", "1.5 KiB", "2.4 KiB", "1.2 MiB", "1023 B"]
