@@ -83,9 +83,11 @@ def tally(graded: DataFrame, by: list[str]) -> DataFrame:
 
 def transfer(source: Column, destination: Column, dispositions: Column) -> Column:
     """The destination's tags afterwards: source keys that are carried or lossy replace, dropped and excluded ones don't. dispositions: map key -> disposition."""
-    kept = F.filter(source, lambda t: F.try_element_at(dispositions, t["key"]).isin("carried", "lossy"))
-    replaced = F.transform(destination, lambda t: F.coalesce(F.get(F.filter(kept, lambda k: k["key"] == t["key"]), F.lit(0)), t))
-    return F.concat(replaced, F.filter(kept, lambda k: ~T.has(destination, k["key"])))
+    # Each is bound once: a lambda's body would make the map and the list anew for every entry.
+    kept = lambda d: F.filter(source, lambda t: F.try_element_at(d, t["key"]).isin("carried", "lossy"))
+    replaced = lambda ks: F.transform(destination, lambda t: F.when(T.has(ks, t["key"]), F.get(ks, F.array_position(ks["key"], t["key"]) - 1)).otherwise(t))
+    outcome = lambda x: F.concat(replaced(x["kept"]), F.filter(x["kept"], lambda k: ~F.array_contains(x["own"], k["key"])))
+    return T.let(dispositions, lambda d: T.let(F.struct(kept(d).alias("kept"), T.keys(destination).alias("own")), outcome))
 
 
 def partition_pictures(pics: Column, mimes: Column) -> tuple[Column, Column]:

@@ -64,3 +64,13 @@ def test_sizes_at_a_tie_go_to_the_even_digit(spark):
     sizes = [1280, 1331, 1408, 1536, 2432, 5 << 18, 1023]
     rows = spark.createDataFrame([(x,) for x in sizes], "n long").select(X.human_bytes(F.col("n"))).collect()
     assert [r[0] for r in rows] == ["1.2 KiB", "1.3 KiB", "1.4 KiB", "1.5 KiB", "2.4 KiB", "1.2 MiB", "1023 B"]
+
+
+def test_transfer_binds_its_map_once(spark):
+    """The map of dispositions stood in a lambda's body, so it was made for every pair of entries."""
+    e = lambda *ks: F.array(*(F.struct(F.lit(k).alias("key"), F.array(F.lit(k.lower())).alias("values")) for k in ks))
+    made = F.map_from_entries(F.transform(F.col("source"), lambda t: F.struct(t["key"], F.when(t["key"] == "B", "dropped").otherwise("carried"))))
+    df = spark.range(1).select(e("A", "B", "C").alias("source"), F.transform(e("C", "B", "D"), lambda t: F.struct(t["key"].alias("key"), F.array(F.lit("old")).alias("values"))).alias("destination"))
+    out = df.select(R.transfer(F.col("source"), F.col("destination"), made).alias("t"))
+    assert [(x["key"], x["values"]) for x in out.first().t] == [("C", ["c"]), ("B", ["old"]), ("D", ["old"]), ("A", ["a"])]
+    assert R.transfer(F.col("source"), F.col("destination"), made)._jc.toString().count("map_from_entries") == 1
