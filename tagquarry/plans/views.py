@@ -51,10 +51,14 @@ def duck(view: list) -> str:
     return f"list_filter([{', '.join(one(*x) for x in view)}], lambda x: x IS NOT NULL)"
 
 
+#: Rows that one task takes of a table that is dealt out.
+ROWS_A_TASK = 25_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores (a small table, or one of large row groups) is dealt out over all of them; any other is left alone."""
+    """The rows dealt out by the hash of their columns, at least one task a core and at most about ROWS_A_TASK rows a task. A scan's own partitions follow its row groups, so one large row group would be one task however many splits its file has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // ROWS_A_TASK)), *df.columns)
 
 
 def orders_tags(s: SparkSession, sf_dir: str) -> DataFrame:

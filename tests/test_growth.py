@@ -74,3 +74,18 @@ def test_transfer_binds_its_map_once(spark):
     out = df.select(R.transfer(F.col("source"), F.col("destination"), made).alias("t"))
     assert [(x["key"], x["values"]) for x in out.first().t] == [("C", ["c"]), ("B", ["old"]), ("D", ["old"]), ("A", ["a"])]
     assert R.transfer(F.col("source"), F.col("destination"), made)._jc.toString().count("map_from_entries") == 1
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    """A file of many splits and one row group is read by one task: its rows must still reach all."""
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000, raising=False)
+    spark.range(10_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        sizes = [r["count"] for r in views.spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 10_000 and len(sizes) == 10 and max(sizes) < 1500
